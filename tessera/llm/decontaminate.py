@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.llm._bytes import GRAM, mix, row_blocks, row_of, text_column, words
 
@@ -149,10 +150,11 @@ def _scan(h: np.ndarray, row: np.ndarray, counts: np.ndarray, blocks: list) -> t
     return np.cumsum(delta[:-1]) > 0, [items.get(r, set()) for r in range(len(counts))]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 8, k: int = 5, min_items: int = 2, block_words: int = 2_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 8, k: int = 5, min_items: int = 2, block_words: int = 2_000_000, whole: bool = False) -> DataFrame:
     """Per document row: words, words in shared windows, their spans, and the items they come from.
 
-    Columns: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (first and last word).
+    Columns: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (first and last word); with
+    ``whole`` also the row itself as a struct ``document``.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("t")).distinct()
@@ -164,6 +166,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         rows = parts.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == b).collect() if n_blocks > 1 else parts.collect()
         blocks.append(spark.sparkContext.broadcast(_index([tuple(r) for r in rows], window, k)))
     kind = docs.schema[id_col].dataType.simpleString()
+    carried, names = ([F.struct("*").alias("document")], ["document"]) if whole else ([], [])
     nothing = hashlib.sha256(b"").hexdigest()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,8 +198,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                         pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() if x else nothing for x in ids]),
                         pa.array([len(x) >= min_items for x in ids]),
                         pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
+                        *(c.slice(i, j - i) for c in batch.columns[2:]),
                     ],
-                    names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
+                    names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", *names],
                 )
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(scan, SCHEMA.format(kind=kind))
+    rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string"), *carried)
+    return rows.mapInArrow(scan, StructType(StructType.fromDDL(SCHEMA.format(kind=kind)).fields + rows.schema.fields[2:]))

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.llm._bytes import row_blocks, row_of, text_column, words
 from tessera.llm._fit import fold
@@ -76,15 +77,17 @@ def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 300
     return w[:-1], float(w[-1])
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5, max_positive: int = 6_000, max_unlabelled: int = 12_000, max_candidates: int = 32_768, max_features: int = 512, classifiers: int = 3) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row."""
+def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5, max_positive: int = 6_000, max_unlabelled: int = 12_000, max_candidates: int = 32_768, max_features: int = 512, classifiers: int = 3, whole: bool = False) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row; with ``whole`` also the row itself as a struct ``document``."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
+    carried = [F.struct("*").alias("document")] if whole else []
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"), *carried)
+    names = ["document"] if whole else []
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).filter("y is not null and id is not null").filter(fold(F.col("id"), 5) != 0).groupBy("id").agg(F.max("y").alias("y"))
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not toxic:
-        return texts.select(F.col("id").alias("doc_id"), (fold(F.col("id"), 5) == 0).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+        return texts.select(F.col("id").alias("doc_id"), (fold(F.col("id"), 5) == 0).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), *names)
     prior = min(0.95, toxic / n)
     slot = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_000)) / 1e6
     chosen = known.filter("y = 1").filter(slot < max_positive / toxic).select("id")  # about max_positive ids
@@ -161,7 +164,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                 r, at = known_features(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], known_hashes, seen)
                 logits = np.array([np.bincount(r, weights=wk[at], minlength=j - i) + bk for wk, bk in zip(w, b)])
                 out.append((1 / (1 + np.exp(-np.clip(logits, -500, 500)))).mean(axis=0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out)), *batch.columns[2:]], names=["doc_id", "score", *names])
 
-    scored = texts.mapInArrow(score, f"doc_id {kind}, score double")
-    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    schema = StructType.fromDDL(f"doc_id {kind}, score double")
+    scored = texts.mapInArrow(score, StructType(schema.fields + texts.schema.fields[2:]))
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *names)

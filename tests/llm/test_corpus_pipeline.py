@@ -38,3 +38,14 @@ def test_stages_take_odd_and_empty_rows(spark, tmp_path):
     for docs in (documents(spark), documents(spark).filter("false")):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, docs, str(tmp_path)).count()
+
+
+def test_rows_pass_through_whole(spark):
+    from tessera.llm.decontaminate import decontaminate
+    from tessera.llm.toxicity import toxicity_scores
+
+    docs = documents(spark)
+    bench = spark.createDataFrame([("1", "the of and")], "item_id string, text string")
+    known = labels(spark, [(i, 1, i % 2) for i in range(10, 60)])
+    for frame in (decontaminate(docs, bench, whole=True), toxicity_scores(docs, known, whole=True), toxicity_scores(docs, labels(spark), whole=True)):
+        assert frame.select("document.*").exceptAll(docs).isEmpty() and frame.count() == docs.count()
