@@ -61,26 +61,28 @@ def reverse_references(refs: DataFrame) -> DataFrame:
 def bfs(edges: DataFrame, roots: DataFrame, depth: int, direction: str = "either", max_visits: int | None = None) -> tuple[DataFrame, list[tuple[int, int, int]]]:
     """Nodes reached from each root with their depth, and (depth, frontier, visits) counts by depth.
 
-    All roots go together. Each depth is one join of the frontier with the edges and one anti-join with what
-    was seen, written to the shared folder, so the plan stays small. ``visits`` counts each candidate edge of
+    All roots go together. Each depth is one join of the frontier with the edges, aggregated before it is
+    compared with what was seen, and is written to the shared folder, so the plan stays small. ``visits`` counts each candidate edge of
     each frontier node. Beyond ``max_visits`` a typed error is raised.
     """
     steps = materialize(directed(edges, direction).select("node", "neighbour"), "edges")
     frontier = materialize(roots.select(F.col("node").alias("root"), "node").distinct(), "frontier")
-    seen, counts, total = [frontier.withColumn("depth", F.lit(0))], [], 0
+    seen, counts, total, n = [frontier.withColumn("depth", F.lit(0))], [], 0, frontier.count()
     for d in range(1, depth + 1):
-        walked = frontier.join(steps, "node")
-        n = frontier.count()
-        visits = walked.count()
-        total += visits
-        if max_visits is not None and total > max_visits:
-            raise ResourceLimit(f"{total} visits, limit {max_visits}")
-        counts.append((d, n, visits))
         known = seen[0].select("root", "node")
         for s in seen[1:]:
             known = known.unionByName(s.select("root", "node"))
-        frontier = materialize(walked.select("root", F.col("neighbour").alias("node")).distinct().join(known, ["root", "node"], "left_anti"), "frontier")
+        walked = frontier.join(steps, "node").groupBy("root", F.col("neighbour").alias("node")).agg(F.count("*").alias("visits"))
+        step = materialize(walked.join(known.withColumn("old", F.lit(True)), ["root", "node"], "left"), "frontier")
+        sums = step.agg(F.coalesce(F.sum("visits"), F.lit(0)).alias("visits"), F.count_if(F.col("old").isNull()).alias("new")).first()
+        total += sums["visits"]
+        if max_visits is not None and total > max_visits:
+            raise ResourceLimit(f"{total} visits, limit {max_visits}")
+        counts.append((d, n, sums["visits"]))
+        frontier, n = step.filter("old is null").select("root", "node"), sums["new"]
         seen.append(frontier.withColumn("depth", F.lit(d)))
+        if not n:
+            break
     out = seen[0]
     for s in seen[1:]:
         out = out.unionByName(s)

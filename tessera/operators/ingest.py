@@ -107,3 +107,48 @@ def html_text(rows: DataFrame, id_col: str = "page_id", html_col: str = "html")
             yield pd.DataFrame({id_col: f[id_col], "text": out, "outcome": ["malformed" if h is None else "complete" for h in f[html_col]]})
 
     return rows.select(id_col, html_col).mapInPandas(scan, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, text string, outcome string")
+
+
+def xml_rows(rows: DataFrame, column: str, schema: str) -> DataFrame:
+    """Typed fields of an XML text, with complete or malformed."""
+    parsed = F.from_xml(column, F.lit(f"{schema}, _corrupt string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    out = rows.withColumn("_p", parsed)
+    names = [f.strip().split()[0] for f in schema.split(",")]
+    outcome = F.when(F.col("_p").isNull() | F.col("_p._corrupt").isNotNull(), "malformed").otherwise("complete")
+    return out.select(*rows.columns, *[F.col(f"_p.{n}").alias(n) for n in names], outcome.alias("outcome"))
+
+
+def container_members(rows: DataFrame, name_col: str = "name", content_col: str = "content", max_bytes: int = 1 << 30) -> DataFrame:
+    """Members of ZIP and TAR files and the frames of WAV files, without unpacking to disk.
+
+    outcome: complete, malformed, limit_exceeded (members unpack to more than ``max_bytes``), unsupported.
+    """
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+        import tarfile
+        import wave
+        import zipfile
+
+        for f in frames:
+            out = []
+            for name, raw in zip(f[name_col], f[content_col]):
+                kind = str(name).rpartition(".")[2].lower()
+                try:
+                    data = io.BytesIO(raw or b"")
+                    if kind == "zip":
+                        found = [(i.filename, i.file_size) for i in zipfile.ZipFile(data).infolist()]
+                    elif kind == "tar":
+                        found = [(i.name, i.size) for i in tarfile.open(fileobj=data).getmembers()]
+                    elif kind == "wav":
+                        found = [("frames", wave.open(data).getnframes())]
+                    else:
+                        out.append((name, None, None, "unsupported"))
+                        continue
+                    outcome = "limit_exceeded" if sum(n for _, n in found) > max_bytes else "complete"
+                    out += [(name, m, n, outcome) for m, n in found] or [(name, None, None, outcome)]
+                except (zipfile.BadZipFile, tarfile.TarError, wave.Error, EOFError):
+                    out.append((name, None, None, "malformed"))
+            yield pd.DataFrame(out, columns=["name", "member", "size", "outcome"]).astype({"size": "Int64"})
+
+    return rows.select(name_col, content_col).mapInPandas(scan, "name string, member string, size long, outcome string")

@@ -85,3 +85,26 @@ def fold_sources(mutations: DataFrame) -> DataFrame:
 def map_pilot_links(facts: DataFrame) -> DataFrame:
     """Links of facts as related edges with ids derived from both ends."""
     return facts.select(F.col("id").alias("from"), F.explode("links").alias("to")).select(F.substring(F.sha2(F.concat_ws("|", F.lit("related"), "from", "to"), 256), 1, 32).alias("id"), F.lit("related").alias("kind"), "from", "to")
+
+
+def fold_claims(mutations: DataFrame) -> DataFrame:
+    """Status of claims after ordered mutations (revision, id, op, corrects).
+
+    ops: put, retract, expire, revoke. A put that corrects an active claim supersedes it at its own revision;
+    the first ending of a claim counts, so a correction of an ended claim leaves that as it was.
+    """
+    puts = mutations.filter("op = 'put'").select("id", F.col("revision").alias("recorded"), "corrects")
+    names = F.create_map(*[F.lit(x) for x in ("retract", "retracted", "expire", "expired", "revoke", "revoked", "put", "superseded")])
+    target = F.when(F.col("op") == "put", F.col("corrects")).otherwise(F.col("id"))
+    ends = mutations.select(target.alias("id"), "revision", names[F.col("op")].alias("status")).filter("id is not null")
+    first = ends.groupBy("id").agg(F.min_by("status", "revision").alias("status"), F.min("revision").alias("status_revision"))
+    return puts.join(first, "id", "left").select("id", "recorded", F.coalesce("status", F.lit("active")).alias("status"), "status_revision")
+
+
+def unified_versions(tables: dict[str, DataFrame]) -> DataFrame:
+    """All versions of all tables in canonical order: (family, id, version, recorded)."""
+    out = None
+    for name in sorted(tables):
+        rows = tables[name].select(F.lit(name).alias("family"), F.col("id").cast("string").alias("id"), F.col("version").cast("long").alias("version"), F.col("recorded").cast("long").alias("recorded"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.orderBy("family", "id", "version")

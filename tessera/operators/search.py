@@ -57,11 +57,11 @@ def time_filter(event_time: Column, mode: str, value: Column | None = None) -> C
 def bm25(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Score of each document with at least one term, with the share of each term.
 
-    Term frequencies come from one scan without a shuffle of text; corpus counts are one small aggregate.
+    Terms are lower-case letters and digits. Term frequencies come from one scan without a shuffle of text; corpus counts are one small aggregate.
     """
-    tokens = F.split(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), "[^a-z0-9]+")
-    count = lambda term: F.size(F.filter("w", lambda x: x == F.lit(term)))
-    rows = docs.select(F.col(id_col), tokens.alias("w")).select(id_col, F.size(F.filter("w", lambda x: x != "")).alias("n"), *[count(t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
+    count = lambda term: F.regexp_count("t", F.lit(f"(?<![a-z0-9]){term}(?![a-z0-9])"))
+    rows = docs.select(F.col(id_col), text.alias("t")).select(id_col, F.regexp_count("t", F.lit("[a-z0-9]+")).alias("n"), *[count(t).alias(f"tf{i}") for i, t in enumerate(terms)])
     stats = rows.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(terms))])
     hit = reduce(lambda a, c: a | c, [F.col(f"tf{i}") > 0 for i in range(len(terms))])
     part = lambda i: F.log(1 + (F.col("docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("n") / F.col("mean")))

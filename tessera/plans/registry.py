@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from tessera.plans import graph_queries, memory_queries, record_queries, space_queries, write_queries  # noqa: F401
+    from tessera.plans import graph_queries, memory_queries, more_queries, record_queries, space_queries, write_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -203,3 +203,21 @@ def test_contacts_keep_momentum(spark):
 def test_html_is_inert(spark):
     pages = spark.createDataFrame([(1, "<p>a <b>b</b></p><script>x()</script><style>y</style>"), (2, None), (3, "<p>open"), (4, "")], "page_id long, html string")
     assert {r.page_id: (r.text, r.outcome) for r in ingest.html_text(pages).collect()} == {1: ("a\nb", "complete"), 2: ("", "malformed"), 3: ("open", "complete"), 4: ("", "complete")}
+
+
+def test_contract_versions():
+    from tessera.contract import WriteContract
+
+    assert WriteContract.negotiate([(0, 9), (1, 0), (2, 0)]) == (1, 0)
+    with pytest.raises(ValueError):
+        WriteContract.negotiate([(2, 0)])
+    with pytest.raises(ValueError):
+        WriteContract().write("p", "k", "drop_table", {}, 0)
+
+
+def test_shortest_path_ties_and_budget(spark):
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "d", 1), ("a", "c", 1), ("c", "d", 1), ("a", "d", 2), ("d", "e", 0)], "src string, dst string, cost long")
+    got = {r.node: (r.cost, r.hops, r.path) for r in graph.shortest_paths(edges, "a").collect()}
+    assert got["d"] == (2, 1, ["a", "d"]) and got["e"] == (2, 2, ["a", "d", "e"]) and got["b"] == (1, 1, ["a", "b"]) and "z" not in got
+    with pytest.raises(errors.ResourceLimit):
+        graph.shortest_paths(edges, "a", max_visits=2)
