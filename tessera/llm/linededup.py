@@ -97,7 +97,7 @@ def _repeated(runs: DataFrame, min_docs: int) -> DataFrame:
     return runs.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc").alias("keeper")).filter(F.col("n_docs") >= min_docs)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = 40, min_docs: int = 5, n_batches: int = 3, hot_parts: int = 4096) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = 40, min_docs: int = 5, n_batches: int = 4, fanout: int = 3, hot_parts: int = 4096) -> DataFrame:
     """The rows of ``docs`` as a struct ``document``, with n_lines, n_dropped and the text ``kept``.
 
     Documents go through the runs in ``n_batches`` batches. Lines that hold more than one in ``hot_parts`` of
@@ -117,7 +117,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     path = scratch(spark, "lines")
     lines.withColumn("batch", F.pmod(F.hash("row"), F.lit(n_batches))).write.partitionBy("batch").parquet(path)
     held = spark.read.schema("h1 long, h2 long, doc long, row long, pos int, batch int").parquet(path)
-    runs = LineRuns(spark)
+    runs = LineRuns(spark, fanout=fanout)
     for b in range(n_batches):
         runs.add(held.filter(F.col("batch") == b))
     stats_path = scratch(spark, "repeated")
