@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +53,21 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     """Delete a scratch table that no live plan reads."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, once per application, so that it needn't be installed on them."""
+    root = Path(__file__).resolve().parent
+    app = spark.sparkContext.applicationId
+    if app in _shipped or not root.is_dir():
+        return
+    folder = Path(tempfile.mkdtemp(prefix="tessera-package-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(folder / f"tessera-{uuid.uuid4().hex[:8]}.zip", "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, str(Path("tessera") / path.relative_to(root)))
+    spark.sparkContext.addPyFile(out.filename)
+    _shipped.add(app)
