@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tessera.llm._bytes import GRAM, mix, row_blocks, row_of, text_column, words
+from tessera.session import ship
 
 SCHEMA = "doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first:long,last:long>>"
 
@@ -157,6 +158,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ``whole`` also the row itself as a struct ``document``.
     """
     spark = docs.sparkSession
+    ship(spark)
     items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("t")).distinct()
     size = items.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
     n_blocks = max(1, math.ceil(size / 6 / block_words))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components, forest
-from tessera.session import materialize
+from tessera.session import materialize, ship
 
 LEAF = 128
 
@@ -102,6 +102,7 @@ def ego_pairs(x: np.ndarray, cx: np.ndarray, y: np.ndarray, cy: np.ndarray, cosi
 def vector_dedup(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98, directions: int = 6, block_rows: int = 2_048) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
     spark = rows.sparkSession
+    ship(spark)
     eps = math.sqrt(max(0.0, 2 - 2 * cosine)) * (1 + 1e-9) + 1e-9
     kind = rows.schema[id_col].dataType.simpleString()
     raw = F.col(f"`{vector_col}`").cast("array<double>")

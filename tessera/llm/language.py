@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm._bytes import row_blocks, text_column
+from tessera.session import ship
 
 LANE = 256
 
@@ -151,6 +152,7 @@ def training_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, h
 def language_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: tuple[int, int] = (4, 2), max_chars: int = 96_000) -> DataFrame:
     """doc_id, held_out, lang_pred and score (how far the runner-up is behind) of every row."""
     spark = docs.sparkSession
+    ship(spark)
     texts = training_texts(docs, id_col, text_col, lang_col, held_out, max_chars)
     parser = spark.sparkContext.broadcast(Parser(texts)) if texts else None
     names = np.array(sorted(texts), dtype=object)

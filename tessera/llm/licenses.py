@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm._bytes import row_blocks, row_of, text_column, words
 from tessera.llm.decontaminate import grams
-from tessera.session import materialize
+from tessera.session import materialize, ship
 
 #: label, text, and whether it is a base phrase
 PHRASES = (("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved"))
@@ -133,6 +133,7 @@ def template_table(spark: SparkSession, templates: list[tuple[str, str, bool]],
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, places of every row."""
     spark = docs.sparkSession
+    ship(spark)
     templates = [(label, text, True) for label, text in PHRASES] + [(label, text, False) for label, text in TEMPLATES]
     every = template_grams(templates, k)
     wanted = {size: np.unique(np.array([g[6] for g in every if g[4] == size], np.int64)).view(np.uint64) for size in sorted({g[4] for g in every})}

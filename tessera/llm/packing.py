@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tessera.llm._bytes import row_blocks, text_column
 from tessera.llm._chunkcache import worker_cache
 from tessera.llm.tokencount import adapter
-from tessera.session import materialize
+from tessera.session import materialize, ship
 
 
 def tokenized(docs: DataFrame, model_path: str, id_col: str, text_col: str, end_id: int) -> DataFrame:
@@ -63,6 +63,7 @@ def cut(place: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.n
 def pack(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, end_id: int = 1) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (little-endian 16-bit)."""
     spark = docs.sparkSession
+    ship(spark)
     stream = materialize(tokenized(docs, model_path, id_col, text_col, end_id), "ids")
     totals = stream.groupBy("part").agg(F.max(F.col("before") + F.length("ids") / 2).cast("long").alias("n")).toPandas().sort_values("part")
     sums = np.cumsum(totals["n"].to_numpy(np.int64))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm._bytes import row_blocks, row_of, text_column, words
 from tessera.llm._fit import fold, isotonic
-from tessera.session import materialize
+from tessera.session import materialize, ship
 
 MARKS = b"|!*#%&$@.,-+()=\"':;?<>/"
 N_STATS = 20 + len(MARKS)
@@ -136,7 +136,7 @@ def _summed(rows: DataFrame, size: int, add, parts: int) -> np.ndarray:
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, features: int = 256, width: float = 6.0, ridge: float = 1e-3, parts: int = 12, seed: int = 11) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
-    spark = docs.sparkSession
+    ship(docs.sparkSession)
     table = materialize(document_statistics(docs, id_col, text_col), "statistics")
     known = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("y")).filter("y is not null and doc_id is not null").withColumn("fold", fold(F.col("doc_id"), 5)).filter("fold <> 0")
     train = materialize(table.join(known, "doc_id").select("y", "x", "fold"), "train")

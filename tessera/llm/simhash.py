@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components, forest
-from tessera.session import materialize
+from tessera.session import materialize, ship
 
 BITS = 64
 TILE = 512
@@ -101,6 +101,7 @@ def compare(x: np.ndarray, y: np.ndarray | None, radius: int) -> tuple[np.ndarra
 def near_links(prints: DataFrame, radius: int = 4, block_rows: int = 32_768) -> DataFrame:
     """Links (a, b) that connect all fingerprints ``fp`` (distinct longs) within the radius of each other."""
     spark = prints.sparkSession
+    ship(spark)
     counted = {r["p"]: r["n"] for r in prints.groupBy(F.bit_count("fp").alias("p")).agg(F.count("*").alias("n")).collect()}
     # 65 counts; blocks grow with the table, so that at most about 256 + 65 of them meet each other
     rows = max(block_rows, sum(counted.values()) // 256)
@@ -126,6 +127,7 @@ def near_links(prints: DataFrame, radius: int = 4, block_rows: int = 32_768) ->
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row."""
+    ship(docs.sparkSession)
     prints = materialize(fingerprints(docs, id_col, text_col, size), "prints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(near_links(classes.select("fp"), radius))

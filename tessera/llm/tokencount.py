@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm._bytes import HashTable, chunks, row_blocks, text_column
 from tessera.llm._chunkcache import ChunkCache, PieceModel, WordModel, worker_cache
+from tessera.session import ship
 
 _tier_one: dict[str, tuple[HashTable, np.ndarray]] = {}
 
@@ -59,6 +60,7 @@ def frequent_lengths(docs: DataFrame, text_col: str, model_path: str, table_size
 
 def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, table_size: int = 65_536, table_docs: int = 2_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every row."""
+    ship(docs.sparkSession)
     hashes, sizes = frequent_lengths(docs, text_col, model_path, table_size, table_docs)
     shared = docs.sparkSession.sparkContext.broadcast((hashes, sizes))
     name = f"{model_path}:{hash(hashes.tobytes())}"

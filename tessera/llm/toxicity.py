@@ -27,6 +27,7 @@ from pyspark.sql.types import StructType
 
 from tessera.llm._bytes import row_blocks, row_of, text_column, words
 from tessera.llm._fit import fold
+from tessera.session import ship
 
 PREFIXES = (4, 5, 6, 8)
 
@@ -80,6 +81,7 @@ def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 300
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5, max_positive: int = 6_000, max_unlabelled: int = 12_000, max_candidates: int = 32_768, max_features: int = 512, classifiers: int = 3, whole: bool = False) -> DataFrame:
     """doc_id, held_out, score and predicted of every row; with ``whole`` also the row itself as a struct ``document``."""
     spark = docs.sparkSession
+    ship(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     carried = [F.struct("*").alias("document")] if whole else []
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"), *carried)
