@@ -9,6 +9,21 @@ RFC3339 = r"^(\d{4})-(\d{2})-(\d{2})T(\d{2}):(\d{2}):(\d{2})(?:\.(\d{1,9}))?(Z|[
 UNITS = {"s": 1, "ms": 1_000, "us": 1_000_000, "ns": 1_000_000_000}
 
 
+def _micros(ntz: Column) -> Column:
+    """Microseconds of a timestamp without zone since 1970, whatever the session's zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ntz)
+
+
+def _ntz(micros: Column) -> Column:
+    """The timestamp without zone of microseconds since 1970."""
+    zero = F.lit(0)
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(zero, zero, zero, (micros.cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)"))
+
+
+def _in_zone(utc: Column, zone: str) -> Column:
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
+
+
 def instant(s: Column, n: Column) -> Column:
     return F.struct(s.cast("long").alias("s"), n.cast("int").alias("n"))
 
@@ -54,10 +69,10 @@ def resolve_local(local: Column, zone: str, choose: str | None = None) -> Column
     Offsets that hold a day before and after are candidates; those that lead back to the same local time
     are kept. None is a gap, one is the answer, two are a fold that ``choose`` (earlier, later) must settle.
     """
-    stamp = local.cast("timestamp_ntz").cast("timestamp")
-    shift = lambda days: F.unix_micros(F.from_utc_timestamp(stamp + F.expr(f"interval {days} day"), zone)) - F.unix_micros(stamp + F.expr(f"interval {days} day"))
-    tries = F.array_distinct(F.array(F.unix_micros(stamp) - shift(-1), F.unix_micros(stamp) - shift(1)))
-    held = F.array_sort(F.filter(tries, lambda u: F.from_utc_timestamp(F.timestamp_micros(u), zone) == stamp))
+    stamp = _micros(local.cast("timestamp_ntz"))
+    offset = lambda at: _micros(_in_zone(_ntz(at), zone)) - at
+    tries = F.array_distinct(F.array(*[stamp - offset(stamp + F.lit(d * 86_400_000_000)) for d in (-1, 1)]))
+    held = F.array_sort(F.filter(tries, lambda u: _micros(_in_zone(_ntz(u), zone)) == stamp))
     n = F.size(held)
     outcome = F.when(n == 0, "invalid").when((n == 2) & F.lit(choose is None), "ambiguous").when((n == 1) & F.lit(choose is not None), "invalid").otherwise("resolved")
     reason = F.when(n == 0, "nonexistent_local_time").when((n == 2) & F.lit(choose is None), "fold").when((n == 1) & F.lit(choose is not None), "needless_fold")
@@ -75,18 +90,18 @@ def date_only(text: Column, policy: str | None = None) -> Column:
 
 def format_utc(s: Column, n: Column) -> Column:
     """RFC 3339 in UTC without trailing zeros of the fraction."""
-    whole = F.date_format(F.timestamp_seconds(s), "yyyy-MM-dd'T'HH:mm:ss")
+    whole = F.date_format(_ntz(s * 1_000_000), "yyyy-MM-dd'T'HH:mm:ss")
     fraction = F.rtrim(F.lpad(n.cast("string"), 9, "0"), F.lit("0"))
     return F.concat(whole, F.when(n == 0, "").otherwise(F.concat(F.lit("."), fraction)), F.lit("Z"))
 
 
 def present_in_zone(s: Column, zone: str) -> Column:
     """Local text, its offset and the zone's name."""
-    stamp = F.timestamp_seconds(s)
-    minutes = ((F.unix_seconds(F.from_utc_timestamp(stamp, zone)) - s) / 60).cast("int")
+    local = _in_zone(_ntz(s * 1_000_000), zone)
+    minutes = ((_micros(local) - s * 1_000_000) / 60_000_000).cast("int")
     sign = F.when(minutes < 0, "-").otherwise("+")
     offset = F.concat(sign, F.lpad(F.floor(F.abs(minutes) / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.abs(minutes) % 60).cast("string"), 2, "0"))
-    return F.concat(F.date_format(F.from_utc_timestamp(stamp, zone), "yyyy-MM-dd'T'HH:mm:ss"), offset, F.lit(f"[{zone}]"))
+    return F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), offset, F.lit(f"[{zone}]"))
 
 
 def tick_to_utc(tick: Column, numerator: int, denominator: int, origin: int = 0) -> Column:

@@ -221,3 +221,14 @@ def test_shortest_path_ties_and_budget(spark):
     assert got["d"] == (2, 1, ["a", "d"]) and got["e"] == (2, 2, ["a", "d", "e"]) and got["b"] == (1, 1, ["a", "b"]) and "z" not in got
     with pytest.raises(errors.ResourceLimit):
         graph.shortest_paths(edges, "a", max_visits=2)
+
+
+def test_time_does_not_follow_the_session(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    row = lambda: spark.range(1).select(timex.format_utc(F.lit(1_700_000_000).cast("long"), F.lit(5)).alias("a"), timex.present_in_zone(F.lit(1_700_000_000).cast("long"), "America/New_York").alias("b"), timex.resolve_local(F.lit("2024-07-01 12:00:00"), "America/Chicago")["utc_micros"].alias("c")).first()
+    first = row()
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        assert row() == first == ("2023-11-14T22:13:20.000000005Z", "2023-11-14T17:13:20-05:00[America/New_York]", 1_719_853_200_000_000)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
