@@ -35,7 +35,10 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id; rows with a null id stay."""
+    """Of each group of near copies the document with the smallest id.
+
+    Rows that share an id are one document, they stay or go together; rows with a null id stay.
+    """
     found = simhash_dedup(docs)
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -168,15 +169,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         rows = parts.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == b).collect() if n_blocks > 1 else parts.collect()
         blocks.append(spark.sparkContext.broadcast(_index([tuple(r) for r in rows], window, k)))
     kind = docs.schema[id_col].dataType.simpleString()
-    carried, names = ([F.struct("*").alias("document")], ["document"]) if whole else ([], [])
+    names, inner = ["document"] if whole else [], docs.columns.index(text_col)
     nothing = hashlib.sha256(b"").hexdigest()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
-            whole = text_column(texts)
-            for i, j in row_blocks(whole[1]):
-                buf, offsets = whole[0][whole[1][i] : whole[1][j]], whole[1][i : j + 1] - whole[1][i]
+            data, at = text_column(pc.struct_field(batch.column(1), [inner]) if whole else batch.column(1))
+            for i, j in row_blocks(at):
+                buf, offsets = data[at[i] : at[j]], at[i : j + 1] - at[i]
                 _, _, counts, h = words(buf, offsets)
                 row = row_of(counts)
                 hit, found = _scan(h, row, counts, blocks)
@@ -200,10 +200,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                         pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() if x else nothing for x in ids]),
                         pa.array([len(x) >= min_items for x in ids]),
                         pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
-                        *(c.slice(i, j - i) for c in batch.columns[2:]),
+                        *(c.slice(i, j - i) for c in batch.columns[1 : 1 + whole]),
                     ],
                     names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", *names],
                 )
 
-    rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string"), *carried)
-    return rows.mapInArrow(scan, StructType(StructType.fromDDL(SCHEMA.format(kind=kind)).fields + rows.schema.fields[2:]))
+    # a whole row has its text inside, so it is sent once
+    rows = docs.select(F.col(f"`{id_col}`"), F.struct("*").alias("document") if whole else F.col(f"`{text_col}`").cast("string"))
+    return rows.mapInArrow(scan, StructType(StructType.fromDDL(SCHEMA.format(kind=kind)).fields + rows.schema.fields[1 : 1 + whole]))

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -85,7 +86,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     kind = docs.schema[id_col].dataType.simpleString()
     carried = [F.struct("*").alias("document")] if whole else []
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"), *carried)
-    names = ["document"] if whole else []
+    names, inner = ["document"] if whole else [], docs.columns.index(text_col)
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).filter("y is not null and id is not null").filter(fold(F.col("id"), 5) != 0).groupBy("id").agg(F.max("y").alias("y"))
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not toxic:
@@ -93,9 +94,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     prior = min(0.95, toxic / n)
     slot = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_000)) / 1e6
     chosen = known.filter("y = 1").filter(slot < max_positive / toxic).select("id")  # about max_positive ids
-    rows = texts.filter("id is not null").filter(fold(F.col("id"), 5) != 0).count()
+    n_rows = texts.filter("id is not null").filter(fold(F.col("id"), 5) != 0).count()
     positive = texts.join(F.broadcast(chosen), "id", "left_semi").select("t", F.lit(True).alias("p"))
-    unlabelled = texts.filter("id is not null").filter(fold(F.col("id"), 5) != 0).filter(slot < max_unlabelled / max(1, rows)).select("t", F.lit(False).alias("p"))
+    unlabelled = texts.filter("id is not null").filter(fold(F.col("id"), 5) != 0).filter(slot < max_unlabelled / max(1, n_rows)).select("t", F.lit(False).alias("p"))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,14 +161,15 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         known_hashes, w, b = model.value
         seen = _filter(known_hashes)
         for batch in batches:
-            buf, offsets = text_column(batch.column(1))
+            buf, offsets = text_column(pc.struct_field(batch.column(1), [inner]) if whole else batch.column(1))
             out = [np.zeros(0)]
             for i, j in row_blocks(offsets):
                 r, at = known_features(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], known_hashes, seen)
                 logits = np.array([np.bincount(r, weights=wk[at], minlength=j - i) + bk for wk, bk in zip(w, b)])
                 out.append((1 / (1 + np.exp(-np.clip(logits, -500, 500)))).mean(axis=0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out)), *batch.columns[2:]], names=["doc_id", "score", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out)), *batch.columns[1 : 1 + whole]], names=["doc_id", "score", *names])
 
     schema = StructType.fromDDL(f"doc_id {kind}, score double")
-    scored = texts.mapInArrow(score, StructType(schema.fields + texts.schema.fields[2:]))
+    rows = texts.select("id", *(names or ["t"]))  # a whole row has its text inside, so it is sent once
+    scored = rows.mapInArrow(score, StructType(schema.fields + rows.schema.fields[1 : 1 + whole]))
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *names)
