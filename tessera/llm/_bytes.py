@@ -6,7 +6,8 @@ of a text or of a batch. Hashes are polynomials modulo 2**64 over random byte va
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -193,3 +194,22 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def row_of(counts: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(counts)), counts)
+
+
+def trimmed(scan: Callable) -> Callable:
+    """``scan`` over Arrow batches, giving freed memory back to the system after each task.
+
+    Workers are reused and stay; without this, each keeps what its largest task needed.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from scan(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # another C library
+                pass
+
+    return run

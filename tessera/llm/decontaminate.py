@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tessera.llm._bytes import GRAM, mix, row_blocks, row_of, text_column, words
+from tessera.llm._bytes import GRAM, mix, row_blocks, row_of, text_column, trimmed, words
 from tessera.session import ship
 
 SCHEMA = "doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first:long,last:long>>"
@@ -207,4 +207,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     # a whole row has its text inside, so it is sent once
     rows = docs.select(F.col(f"`{id_col}`"), F.struct("*").alias("document") if whole else F.col(f"`{text_col}`").cast("string"))
-    return rows.mapInArrow(scan, StructType(StructType.fromDDL(SCHEMA.format(kind=kind)).fields + rows.schema.fields[1 : 1 + whole]))
+    return rows.mapInArrow(trimmed(scan), StructType(StructType.fromDDL(SCHEMA.format(kind=kind)).fields + rows.schema.fields[1 : 1 + whole]))

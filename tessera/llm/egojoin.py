@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._bytes import trimmed
 from tessera.llm.components import components, forest
 from tessera.session import materialize, ship
 
@@ -64,7 +65,7 @@ def principal(classes: DataFrame, directions: int) -> dict[int, tuple[np.ndarray
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), n)), pa.array(np.arange(len(flat))), pa.array(flat)], names=["n", "i", "v"])
 
     found: dict[int, tuple] = {}
-    sums = classes.select("vector").mapInArrow(moments, "n long, i long, v double").groupBy("n", "i").agg(F.sum("v").alias("v")).toPandas()
+    sums = classes.select("vector").mapInArrow(trimmed(moments), "n long, i long, v double").groupBy("n", "i").agg(F.sum("v").alias("v")).toPandas()
     for n, part in sums.groupby("n"):
         flat = np.zeros(1 + n + n * n)
         flat[part["i"].to_numpy()] = part["v"].to_numpy()
@@ -124,7 +125,7 @@ def vector_dedup(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(cells.ravel()))], names=[*batch.schema.names, "cell"])
 
     shape = ["label", "size"]
-    gridded = classes.withColumn("size", F.size("vector")).mapInArrow(place, f"class long, label string, vector array<double>, first {kind}, n long, size int, cell array<int>")
+    gridded = classes.withColumn("size", F.size("vector")).mapInArrow(trimmed(place), f"class long, label string, vector array<double>, first {kind}, n long, size int, cell array<int>")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = gridded.repartitionByRange(parts, *shape, "cell", "class").sortWithinPartitions(*shape, "cell", "class")
 
@@ -141,7 +142,7 @@ def vector_dedup(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
                 out[i], held = number, held + 1
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "block"])
 
-    table = materialize(ordered.mapInArrow(blocks, f"class long, label string, vector array<double>, first {kind}, n long, size int, cell array<int>, block long"), "grid")
+    table = materialize(ordered.mapInArrow(trimmed(blocks), f"class long, label string, vector array<double>, first {kind}, n long, size int, cell array<int>, block long"), "grid")
     sides = [F.min(F.col("cell")[i]).alias(f"lo{i}") for i in range(directions)] + [F.max(F.col("cell")[i]).alias(f"hi{i}") for i in range(directions)]
     boxes = materialize(table.groupBy(*shape, "block").agg(*sides), "boxes")
     left = boxes.select(*shape, F.col("block").alias("x"), *[F.col(f"{s}{i}").alias(f"x{s}{i}") for s in ("lo", "hi") for i in range(directions)], F.explode(F.sequence("lo0", "hi0")).alias("c"))

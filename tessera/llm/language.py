@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._bytes import row_blocks, text_column
+from tessera.llm._bytes import row_blocks, text_column, trimmed
 from tessera.session import ship
 
 LANE = 256
@@ -180,5 +180,5 @@ def language_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 score.append(np.where(worded, np.where(np.isinf(second), 1.0, 1 - low / np.maximum(second, 1e-9)), 0.0))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(np.concatenate(score))], names=["doc_id", "lang_pred", "score"])
 
-    found = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")).mapInArrow(scan, f"doc_id {kind}, lang_pred string, score double")
+    found = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")).mapInArrow(trimmed(scan), f"doc_id {kind}, lang_pred string, score double")
     return found.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % held_out[0] == held_out[1], F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._bytes import row_blocks, row_of, text_column, words
+from tessera.llm._bytes import row_blocks, row_of, text_column, trimmed, words
 from tessera.llm.decontaminate import grams
 from tessera.session import materialize, ship
 
@@ -101,7 +101,7 @@ def gram_hits(docs: DataFrame, id_col: str, text_col: str, wanted: dict[int, np.
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(key, key + n)), batch.column(0).slice(i, n), pa.array(counts, pa.int64()), pa.array(hits, pa.list_(hit))], names=["row", "doc_id", "n_words", "hits"])
                 key += n
 
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")).mapInArrow(scan, f"row long, doc_id {kind}, n_words long, hits array<struct<k:int,pos:long,hash:long,words:string>>")
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")).mapInArrow(trimmed(scan), f"row long, doc_id {kind}, n_words long, hits array<struct<k:int,pos:long,hash:long,words:string>>")
 
 
 def license_places(rows: DataFrame, table: DataFrame, drift: int = 3, min_cover: float = 0.6) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._bytes import row_blocks, text_column
+from tessera.llm._bytes import row_blocks, text_column, trimmed
 from tessera.llm._chunkcache import worker_cache
 from tessera.llm.tokencount import adapter
 from tessera.session import materialize, ship
@@ -46,7 +46,7 @@ def tokenized(docs: DataFrame, model_path: str, id_col: str, text_col: str, end_
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.full(j - i, part), pa.int64()), pa.array(before + at[:-1]), data.cast(pa.binary())], names=["doc_id", "part", "before", "ids"])
                 before += int(at[-1])
 
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")).mapInArrow(encode, f"doc_id {kind}, part long, before long, ids binary")
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")).mapInArrow(trimmed(encode), f"doc_id {kind}, part long, before long, ids binary")
 
 
 def cut(place: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,7 +90,7 @@ def pack(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"],
             )
 
-    return stream.mapInArrow(pieces, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return stream.mapInArrow(trimmed(pieces), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
 def id_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

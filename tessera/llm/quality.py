@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._bytes import row_blocks, row_of, text_column, words
+from tessera.llm._bytes import row_blocks, row_of, text_column, trimmed, words
 from tessera.llm._fit import fold, isotonic
 from tessera.session import materialize, ship
 
@@ -99,7 +99,7 @@ def document_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFram
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * N_STATS, pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], names=["doc_id", "x"])
 
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")).mapInArrow(scan, f"doc_id {kind}, x array<float>")
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")).mapInArrow(trimmed(scan), f"doc_id {kind}, x array<float>")
 
 
 def _rows(column: pa.Array) -> np.ndarray:
@@ -130,7 +130,7 @@ def _summed(rows: DataFrame, size: int, add, parts: int) -> np.ndarray:
                 total += add(batch.column(0).to_numpy().astype(float), _rows(batch.column(1)))
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
 
-    sums = rows.select("y", "x").repartition(parts).mapInArrow(work, "s binary").collect()
+    sums = rows.select("y", "x").repartition(parts).mapInArrow(trimmed(work), "s binary").collect()
     return sum((np.frombuffer(r["s"]) for r in sums), np.zeros(size))
 
 
@@ -162,5 +162,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rates[place(_rows(batch.column(1)))] if batch.num_rows else np.zeros(0))], names=["doc_id", "score"])
 
-    scored = table.mapInArrow(score, f"doc_id {kind}, score double")
+    scored = table.mapInArrow(trimmed(score), f"doc_id {kind}, score double")
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

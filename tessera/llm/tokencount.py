@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._bytes import HashTable, chunks, row_blocks, text_column
+from tessera.llm._bytes import HashTable, chunks, row_blocks, text_column, trimmed
 from tessera.llm._chunkcache import ChunkCache, PieceModel, WordModel, worker_cache
 from tessera.session import ship
 
@@ -53,7 +53,7 @@ def frequent_lengths(docs: DataFrame, text_col: str, model_path: str, table_size
         yield pa.RecordBatch.from_arrays([pa.array(seen[top].view(np.int64)), pa.array(count[top]), pa.array(length[top])], names=["h", "n", "size"])
 
     sample = docs.select(F.col(f"`{text_col}`").cast("string").alias("t")).limit(table_docs)
-    rows = sample.mapInArrow(tally, "h long, n long, size long").groupBy("h").agg(F.sum("n").alias("n"), F.max("size").alias("size")).orderBy(F.desc("n"), "h").limit(table_size).toPandas()
+    rows = sample.mapInArrow(trimmed(tally), "h long, n long, size long").groupBy("h").agg(F.sum("n").alias("n"), F.max("size").alias("size")).orderBy(F.desc("n"), "h").limit(table_size).toPandas()
     keep = rows["size"] < 256
     return rows["h"][keep].to_numpy(np.int64).view(np.uint64), rows["size"][keep].to_numpy(np.uint8)
 
@@ -83,7 +83,7 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
             n = np.concatenate(totals)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")).mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")).mapInArrow(trimmed(count), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def two_tiers(cache: ChunkCache, table: HashTable, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:

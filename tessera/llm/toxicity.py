@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tessera.llm._bytes import row_blocks, row_of, text_column, words
+from tessera.llm._bytes import row_blocks, row_of, text_column, trimmed, words
 from tessera.llm._fit import fold
 from tessera.session import ship
 
@@ -101,7 +101,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = text_column(batch.column(0))
-            for i, j in row_blocks(offsets, 1 << 23):
+            for i, j in row_blocks(offsets, 1 << 21):
                 row, h = row_features(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 order = np.lexsort((row, h))
                 row, h = row[order], h[order]
@@ -110,7 +110,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(count), pa.array(np.full(len(u), j - i))], names=["h", "n", "rows"])
 
     least = max(3, int(0.002 * min(toxic, max_positive)))
-    top = positive.select("t").mapInArrow(tally, "h long, n long, rows long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(max_candidates).toPandas().sort_values("h")
+    top = positive.select("t").mapInArrow(trimmed(tally), "h long, n long, rows long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(max_candidates).toPandas().sort_values("h")
     order = np.argsort(top["h"].to_numpy(np.int64).view(np.uint64))
     hashes, held = top["h"].to_numpy(np.int64).view(np.uint64)[order], top["n"].to_numpy(np.int64)[order]
     candidates = spark.sparkContext.broadcast(hashes)
@@ -127,7 +127,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         count[-1] = rows_seen
         yield pa.RecordBatch.from_arrays([pa.array([count.tobytes()], pa.binary())], names=["s"])
 
-    sums = unlabelled.select("t").coalesce(24).mapInArrow(background, "s binary").collect()
+    sums = unlabelled.select("t").coalesce(24).mapInArrow(trimmed(background), "s binary").collect()
     counts = sum((np.frombuffer(r["s"], np.int64) for r in sums), np.zeros(len(hashes) + 1, np.int64))
     expected = (counts[:-1] + 1) / max(1, counts[-1]) * min(toxic, max_positive)
     ratio = held / expected
@@ -150,7 +150,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at, pa.int32()))
                 yield pa.RecordBatch.from_arrays([lists, batch.column(1).slice(i, j - i)], names=["f", "p"])
 
-    sample = positive.unionByName(unlabelled).mapInArrow(encode, "f array<int>, p boolean").toPandas()
+    sample = positive.unionByName(unlabelled).mapInArrow(trimmed(encode), "f array<int>, p boolean").toPandas()
     x = np.zeros((len(sample), len(chosen_hashes)), np.float32)
     for i, at in enumerate(sample["f"]):
         x[i, at] = 1
@@ -171,5 +171,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     schema = StructType.fromDDL(f"doc_id {kind}, score double")
     rows = texts.select("id", *(names or ["t"]))  # a whole row has its text inside, so it is sent once
-    scored = rows.mapInArrow(score, StructType(schema.fields + rows.schema.fields[1 : 1 + whole]))
+    scored = rows.mapInArrow(trimmed(score), StructType(schema.fields + rows.schema.fields[1 : 1 + whole]))
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *names)
