@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from tessera.errors import ResourceLimit
 from tessera.functions.values import ascii_lower
 
+#: The reference's limit of candidates of one research query.
+MAX_CANDIDATES = 65_536
+
 
 def contains_all(haystack: Column, terms: list[str]) -> Column:
     """Every term is a substring after folding A-Z."""
@@ -25,12 +28,14 @@ def search_facts(facts: DataFrame, terms: list[str], max_candidates: int | None
     return facts.filter(contains_all(F.concat_ws("\n", "subject", "predicate", "value", "source_text"), terms))
 
 
-def search_claims(claims: DataFrame, terms: list[str], revision: int, max_candidates: int) -> DataFrame:
+def search_claims(claims: DataFrame, terms: list[str], revision: int, max_candidates: int | None = MAX_CANDIDATES) -> DataFrame:
     """Active claims that hold all terms among the first candidates by id; ``truncated`` if those ran out.
 
-    Candidates are counted by a window over ids only when there can be more than the limit.
+    None as the limit searches all active claims in one scan, without an order.
     """
     active = claims.filter(F.col("status_revision").isNull() | (F.col("status_revision") > revision))
+    if max_candidates is None:
+        return active.filter(contains_all(F.concat_ws(" ", "subject", "predicate", "value", "excerpts"), terms)).withColumn("truncated", F.lit(False))
     first = active.orderBy("id").limit(max_candidates)
     more = F.lit(active.limit(max_candidates).count() == max_candidates)
     return first.filter(contains_all(F.concat_ws(" ", "subject", "predicate", "value", "excerpts"), terms)).withColumn("truncated", more)

@@ -18,6 +18,10 @@ def _facts(m):
     return m["facts"].withColumn("links", links)
 
 
+def _claims(m):
+    return m["facts"].join(m["documents"].select("doc_id", F.col("text").alias("excerpts")), "doc_id").withColumn("status_revision", F.col("terminal_revision"))
+
+
 @query("fact_eligibility_at", ELIGIBLE)
 def fact_eligibility_at(spark, m):
     return memory.eligible_facts(m["facts"], m["sources"], 700).select("id")
@@ -115,8 +119,12 @@ def lexical_search_and(spark, m):
 
 @query("claim_search", f"SELECT id, n = 100 AS truncated FROM (SELECT id, text, count(*) OVER () AS n FROM (SELECT f.id, d.text FROM {{facts}} f JOIN {{documents}} d ON d.doc_id = f.doc_id WHERE terminal_revision IS NULL OR terminal_revision > 300 ORDER BY f.id LIMIT 100)) c WHERE contains({FOLD.format('text')}, 'the')")
 def claim_search(spark, m):
-    claims = m["facts"].join(m["documents"].select("doc_id", F.col("text").alias("excerpts")), "doc_id").withColumn("status_revision", F.col("terminal_revision"))
-    return search.search_claims(claims, ["the"], 300, 100).select("id", "truncated")
+    return search.search_claims(_claims(m), ["the"], 300, 100).select("id", "truncated")
+
+
+@query("claim_search_all", f"SELECT f.id, false AS truncated FROM {{facts}} f JOIN {{documents}} d ON d.doc_id = f.doc_id WHERE (f.terminal_revision IS NULL OR f.terminal_revision > 300) AND contains({FOLD.format('d.text')}, 'the')")
+def claim_search_all(spark, m):
+    return search.search_claims(_claims(m), ["the"], 300, None).select("id", "truncated")
 
 
 @query("search_truncated_bytes", """WITH r AS (SELECT user_id, event_id, row_number() OVER w AS k, sum(100 + event_id % 300) OVER w AS s FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),

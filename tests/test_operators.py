@@ -232,3 +232,12 @@ def test_time_does_not_follow_the_session(spark):
         assert row() == first == ("2023-11-14T22:13:20.000000005Z", "2023-11-14T17:13:20-05:00[America/New_York]", 1_719_853_200_000_000)
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_claims_beyond_the_limit_are_searched(spark):
+    claims = spark.range(300).selectExpr("format_string('c%03d', id) as id", "'s' as subject", "'p' as predicate", "'v' as value", "if(id % 3 = 0, 'The end', 'x') as excerpts", "if(id % 5 = 0, 7L, null) as status_revision")
+    want = {f"c{i:03}" for i in range(300) if i % 3 == 0 and i % 5}
+    for found in (search.search_claims(claims, ["the"], 7, None), search.search_claims(claims, ["the"], 7)):
+        assert {(r.id, r.truncated) for r in found.collect()} == {(i, False) for i in want}
+    first = search.search_claims(claims, ["the"], 7, 10).collect()
+    assert {r.id for r in first} == set(sorted(f"c{i:03}" for i in range(300) if i % 5)[:10]) & want and all(r.truncated for r in first)
