@@ -22,6 +22,11 @@ def _claims(m):
     return m["facts"].join(m["documents"].select("doc_id", F.col("text").alias("excerpts")), "doc_id").withColumn("status_revision", F.col("terminal_revision"))
 
 
+def _cites(m):
+    start = 10 + F.col("doc_id") % 50
+    return m["facts"].select("id", "source", "version", start.cast("int").alias("start"), (start + 20).cast("int").alias("end"))
+
+
 @query("fact_eligibility_at", ELIGIBLE)
 def fact_eligibility_at(spark, m):
     return memory.eligible_facts(m["facts"], m["sources"], 700).select("id")
@@ -65,10 +70,15 @@ def research_edges_from(spark, m):
     SELECT f.id, CASE WHEN s.revoked IS NOT NULL THEN 'withheld' WHEN octet_length(encode(s.text)) < 30 + f.doc_id % 50 THEN 'out_of_range' ELSE 'resolved' END AS outcome, substr(s.text, 11 + CAST(f.doc_id % 50 AS BIGINT), 20) AS excerpt
     FROM {facts} f JOIN {sources} s ON s.source = f.source AND s.version = f.version WHERE regexp_full_match(left(s.text, 100), '[ -~\\n]*')) c""")
 def citation_excerpt(spark, m):
-    start = 10 + F.col("doc_id") % 50
-    cites = m["facts"].select("id", "source", "version", start.cast("int").alias("start"), (start + 20).cast("int").alias("end"))
     ascii_only = m["sources"].filter(F.substring("text", 1, 100).rlike(r"^[ -~\n]*\z"))
-    return memory.resolve_citations(cites, ascii_only).select("id", "outcome", "excerpt", "excerpt_sha256", "bytes")
+    return memory.resolve_citations(_cites(m), ascii_only).select("id", "outcome", "excerpt", "excerpt_sha256", "bytes")
+
+
+@query("citation_excerpt_all", """SELECT id, outcome, CASE WHEN outcome = 'resolved' THEN decode(unhex(excerpt)) END AS excerpt, CASE WHEN outcome = 'resolved' THEN sha256(unhex(excerpt)) END AS excerpt_sha256, CASE WHEN outcome = 'resolved' THEN CAST(20 + 160 AS BIGINT) END AS bytes FROM (
+    SELECT id, CASE WHEN revoked IS NOT NULL THEN 'withheld' WHEN length(h) < 2 * (start + 20) THEN 'out_of_range' WHEN substr(h, 2 * start + 1, 1) IN ('8', '9', 'A', 'B') OR substr(h, 2 * start + 41, 1) IN ('8', '9', 'A', 'B') THEN 'not_a_boundary' ELSE 'resolved' END AS outcome, substr(h, 2 * start + 1, 40) AS excerpt
+    FROM (SELECT f.id, s.revoked, hex(encode(s.text)) AS h, 10 + CAST(f.doc_id % 50 AS BIGINT) AS start FROM {facts} f JOIN {sources} s ON s.source = f.source AND s.version = f.version) b) c""")
+def citation_excerpt_all(spark, m):
+    return memory.resolve_citations(_cites(m), m["sources"]).select("id", "outcome", "excerpt", "excerpt_sha256", "bytes")
 
 
 @query("citation_multibyte", None)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import errors
 from tessera.functions import geo, timex
-from tessera.operators import asof, graph, ingest, policy, replay, search, space, writes
+from tessera.operators import asof, graph, ingest, memory, policy, replay, search, space, writes
 from tessera.sources import tables
 from tessera.streaming import feeds
 
@@ -241,3 +241,31 @@ def test_claims_beyond_the_limit_are_searched(spark):
         assert {(r.id, r.truncated) for r in found.collect()} == {(i, False) for i in want}
     first = search.search_claims(claims, ["the"], 7, 10).collect()
     assert {r.id for r in first} == set(sorted(f"c{i:03}" for i in range(300) if i % 5)[:10]) & want and all(r.truncated for r in first)
+
+
+def test_citations_are_byte_slices(spark):
+    texts = {"a": "aé€😀z", "b": "plain", "c": "é" * 60, "d": "gone"}
+    sources = spark.createDataFrame([(k, 1, t, 9 if k == "d" else None) for k, t in texts.items()], "source string, version long, text string, revoked long")
+    cites = [(f"{k}{a}-{b}", k, 1, a, b) for k in texts for a in range(-1, 14) for b in range(-1, 14)]
+
+    def brute(k, a, b):
+        raw = texts[k].encode()
+        if k == "d":
+            return "withheld", None
+        if not 0 <= a <= b <= len(raw):
+            return "out_of_range", None
+        try:
+            return "resolved", raw[a:b].decode()
+        except UnicodeDecodeError:
+            return "not_a_boundary", None
+
+    got = {r.id: (r.outcome, r.excerpt) for r in memory.resolve_citations(spark.createDataFrame(cites, "id string, source string, version long, start int, end int"), sources).collect()}
+    assert got == {i: brute(k, a, b) for i, k, _, a, b in cites}
+
+
+def test_citations_of_all_sources_get_a_row(spark):
+    from tessera.plans import registry
+    from tessera.plans.project import Model
+
+    m = Model(spark, "/root/testdata/sf0.001")
+    assert registry.queries()["citation_excerpt_all"](spark, m.dir).count() == m["facts"].join(m["documents"], "doc_id").count()
