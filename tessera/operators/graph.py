@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,17 +60,17 @@ def reverse_references(refs: DataFrame) -> DataFrame:
     return refs.groupBy("target", "owner").agg(F.bit_or(bit).cast("long").alias("roles"))
 
 
-def bfs(edges: DataFrame, roots: DataFrame, depth: int, direction: str = "either", max_visits: int | None = None) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+def bfs(edges: DataFrame, roots: DataFrame, depth: int | None, direction: str = "either", max_visits: int | None = None) -> tuple[DataFrame, list[tuple[int, int, int]]]:
     """Nodes reached from each root with their depth, and (depth, frontier, visits) counts by depth.
 
     All roots go together. Each depth is one join of the frontier with the edges, aggregated before it is
     compared with what was seen, and is written to the shared folder, so the plan stays small. ``visits`` counts each candidate edge of
-    each frontier node. Beyond ``max_visits`` a typed error is raised.
+    each frontier node. Beyond ``max_visits`` a typed error is raised. None as the depth walks until nothing new is reached.
     """
     steps = materialize(directed(edges, direction).select("node", "neighbour"), "edges")
     frontier = materialize(roots.select(F.col("node").alias("root"), "node").distinct(), "frontier")
     seen, counts, total, n = [frontier.withColumn("depth", F.lit(0))], [], 0, frontier.count()
-    for d in range(1, depth + 1):
+    for d in count(1) if depth is None else range(1, depth + 1):
         known = seen[0].select("root", "node")
         for s in seen[1:]:
             known = known.unionByName(s.select("root", "node"))

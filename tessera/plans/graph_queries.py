@@ -100,7 +100,17 @@ def reverse_references(spark, m):
     UNION SELECT w.root, e.dst FROM w JOIN {edges} e ON e.src = w.node AND e.status = 'accepted') SELECT root, count(*) - 1 AS reached FROM w GROUP BY root""")
 def impact_reachability(spark, m):
     roots = m["customer"].filter("c_custkey <= 20").select(F.concat(F.lit("customer:"), "c_custkey").alias("node"))
-    reached = graph.bfs(m["edges"], roots, 4, "out")[0].groupBy("root").agg(F.count("*").alias("n"))
+    return _impact(m, roots)
+
+
+@query("impact_reachability_all", """WITH RECURSIVE w AS (SELECT 'customer:' || CAST(c_custkey AS STRING) AS root, 'customer:' || CAST(c_custkey AS STRING) AS node FROM {customer}
+    UNION SELECT w.root, e.dst FROM w JOIN {edges} e ON e.src = w.node AND e.status = 'accepted') SELECT root, count(*) - 1 AS reached FROM w GROUP BY root""")
+def impact_reachability_all(spark, m):
+    return _impact(m, m["customer"].select(F.concat(F.lit("customer:"), "c_custkey").alias("node")))
+
+
+def _impact(m, roots):
+    reached = graph.bfs(m["edges"], roots, None, "out")[0].groupBy("root").agg(F.count("*").alias("n"))
     return roots.join(reached, F.col("node") == F.col("root"), "left").select(F.col("node").alias("root"), F.coalesce("n", F.lit(0)).alias("reached"))
 
 

@@ -88,6 +88,12 @@ def observation_at(spark, m):
     return m["observations"].filter("revision <= 800").filter("id % 10 = 0").select("id", "entity", "x", "y")
 
 
+@query("observation_at_all", "SELECT id, entity, x, y FROM {observations} WHERE revision <= (SELECT max(revision) * 9 // 10 FROM {observations})")
+def observation_at_all(spark, m):
+    at = asof.current_revision(m["observations"]) * 9 // 10
+    return m["observations"].filter(F.col("revision") <= at).select("id", "entity", "x", "y")
+
+
 @query("version_visit", """SELECT 'facts' AS family, id, CAST(1 AS BIGINT) AS version, recorded FROM {facts} UNION ALL SELECT 'sources', source, version, recorded FROM {sources} UNION ALL SELECT 'users', id, version, revision FROM {user_versions}""")
 def version_visit(spark, m):
     return memory.unified_versions({

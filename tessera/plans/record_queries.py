@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.values import canonical_map, is_identity, line_at, sha256_hex, status_at
+from tessera.functions.values import byte_slice, canonical_map, is_identity, line_at, sha256_hex, status_at
 from tessera.operators import asof, policy, replay
 from tessera.plans.registry import query
 from tessera.session import scratch
@@ -82,6 +82,16 @@ def journal_range_scan(spark, m):
     return log.read(2, 3, newest_first=True)
 
 
+@query("journal_range_scan_all", "SELECT id, revision FROM (SELECT event_id + 1 AS id, CAST(event_id // ((SELECT max(event_id) FROM {events}) // 16 + 1) AS BIGINT) + 1 AS revision FROM {events}) l WHERE revision BETWEEN 2 AND 15")
+def journal_range_scan_all(spark, m):
+    """All events in a log of 16 revisions; all but the first and the last are read."""
+    log = tables.RevisionLog(spark, scratch(spark, "log"), "id long")
+    size = asof.current_revision(m["events"], "event_id") // 16 + 1
+    for r in range(1, 17):
+        log.append(m["events"].filter(F.col("event_id").between((r - 1) * size, r * size - 1)).select((F.col("event_id") + 1).alias("id")), r)
+    return log.read(2, 15, newest_first=True)
+
+
 @query("snapshot_checkpoint", f"SELECT id, version FROM {last('user_versions', '300')} r")
 def snapshot_checkpoint(spark, m):
     path = scratch(spark, "snapshot")
@@ -227,6 +237,16 @@ def line_locator(spark, m):
     return m["conversations"].select("conv_id", "turn", t.alias("t")).filter(F.length("t") >= 60).select("conv_id", "turn", line_at(F.col("t"), F.lit(60)).cast("long").alias("line"))
 
 
+@query("line_locator_all", """SELECT conv_id, turn, outcome, CASE WHEN outcome = 'resolved' THEN 1 + len(list_filter(range(0, 60), lambda i: substr(h, 2 * i + 1, 2) = '0A')) END AS line FROM (
+    SELECT conv_id, turn, h, CASE WHEN length(h) < 120 THEN 'out_of_range' WHEN substr(h, 121, 1) IN ('8', '9', 'A', 'B') THEN 'not_a_boundary' ELSE 'resolved' END AS outcome FROM (SELECT conv_id, turn, hex(encode(replace(text, ' ', chr(10)))) AS h FROM {conversations}) b) c""")
+def line_locator_all(spark, m):
+    """The line of byte 60 of every turn; as in the reference, an offset beyond the text or inside a character has none."""
+    t = F.translate("text", " ", "\n")
+    before = byte_slice(t, F.lit(0), F.lit(60))
+    outcome = F.when(F.octet_length(t) < 60, "out_of_range").when(before.isNull(), "not_a_boundary").otherwise("resolved")
+    return m["conversations"].select("conv_id", "turn", outcome.alias("outcome"), F.when(outcome == "resolved", line_at(t, F.lit(60))).cast("long").alias("line"))
+
+
 @query("claim_status_at", "SELECT id, CASE WHEN terminal_revision <= 500 THEN 'ended' ELSE 'active' END AS status FROM {facts}")
 def claim_status_at(spark, m):
     return m["facts"].select("id", status_at(F.lit("ended"), F.col("terminal_revision"), 500).alias("status"))

@@ -110,9 +110,19 @@ def import_preview(spark, m):
 @query("import_batch_outcomes", """SELECT job, sequence, CASE WHEN job >= 90 THEN 'job_not_found' WHEN job % 8 = 7 THEN 'job_completed' WHEN sequence % 11 = 5 THEN 'source_changed' WHEN sequence < job % 6 THEN 'batch_conflict' WHEN sequence > job % 6 OR job % 13 = 1 THEN 'invalid_checkpoint' ELSE 'accepted' END AS outcome
     FROM (SELECT event_id % 100 AS job, event_id // 100 AS sequence FROM {events} WHERE event_id < 2000) b""")
 def import_batch_outcomes(spark, m):
+    return _batch_outcomes(spark, m["events"].filter("event_id < 2000"))
+
+
+@query("import_batch_outcomes_all", """SELECT job, sequence, CASE WHEN job >= 90 THEN 'job_not_found' WHEN job % 8 = 7 THEN 'job_completed' WHEN sequence % 11 = 5 THEN 'source_changed' WHEN sequence < job % 6 THEN 'batch_conflict' WHEN sequence > job % 6 OR job % 13 = 1 THEN 'invalid_checkpoint' ELSE 'accepted' END AS outcome
+    FROM (SELECT event_id % 100 AS job, event_id // 100 AS sequence FROM {events}) b""")
+def import_batch_outcomes_all(spark, m):
+    return _batch_outcomes(spark, m["events"])
+
+
+def _batch_outcomes(spark, events):
     job = F.col("job")
     jobs = spark.range(90).select(F.col("id").alias("job")).select("job", (job % 6).alias("next_batch"), F.lit("d").alias("source_digest"), F.lit("c").alias("cursor"), F.when(job % 8 == 7, "completed").otherwise("open").alias("status"))
-    batches = m["events"].filter("event_id < 2000").select((F.col("event_id") % 100).alias("job"), F.floor(F.col("event_id") / 100).alias("sequence"))
+    batches = events.select((F.col("event_id") % 100).alias("job"), F.floor(F.col("event_id") / 100).alias("sequence"))
     batches = batches.select("job", "sequence", F.when(F.col("sequence") % 11 == 5, "x").otherwise("d").alias("source_digest"), F.when(job % 13 == 1, "x").otherwise("c").alias("cursor"))
     return ingest.batch_outcomes(batches, jobs)
 

@@ -269,3 +269,37 @@ def test_citations_of_all_sources_get_a_row(spark):
 
     m = Model(spark, "/root/testdata/sf0.001")
     assert registry.queries()["citation_excerpt_all"](spark, m.dir).count() == m["facts"].join(m["documents"], "doc_id").count()
+
+
+def test_reachability_walks_to_closure(spark):
+    chain = spark.range(9).selectExpr("'e' || id as rel_id", "'n' || id as src", "'n' || (id + 1) as dst", "'accepted' as status")
+    got = graph.bfs(chain, spark.createDataFrame([("n0",)], "node string"), None, "out")[0]
+    assert {r.node: r.depth for r in got.collect()} == {f"n{i}": i for i in range(1, 10)}
+
+
+@pytest.mark.parametrize("name,table,keys", [("import_batch_outcomes_all", "events", 0), ("journal_range_scan_all", "events", 0.85), ("observation_at_all", "observations", 0.85), ("impact_reachability_all", "customer", 0), ("line_locator_all", "conversations", 0)])
+def test_queries_cover_their_table(spark, name, table, keys):
+    from tessera.plans import registry
+    from tessera.plans.project import Model
+
+    m = Model(spark, "/root/testdata/sf0.01")
+    rows, of = registry.queries()[name](spark, m.dir).count(), m[table].count()
+    assert keys * of < rows < of if keys else rows == of
+
+
+def test_lines_of_short_and_multibyte_turns(spark, tmp_path):
+    from tessera.plans import registry
+
+    texts = ["short", "é " * 40, "a" + "é" * 40, "w " * 30, "\n" * 60 + "x", "😀" * 15 + " "]
+    spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+
+    def brute(t):
+        raw = t.replace(" ", "\n").encode()
+        if len(raw) < 60:
+            return "out_of_range", None
+        try:
+            return "resolved", 1 + raw[:60].decode().count("\n")
+        except UnicodeDecodeError:
+            return "not_a_boundary", None
+
+    assert {r.turn: (r.outcome, r.line) for r in registry.queries()["line_locator_all"](spark, str(tmp_path)).collect()} == {i: brute(t) for i, t in enumerate(texts)}
