@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.errors import HistoryUnavailable, UnknownReadView
+from tessera.session import materialize
 
 TRANSITIONS = (
     ("proposed", "accept", "accepted"), ("proposed", "reject", "rejected"), ("accepted", "dispute", "disputed"),
@@ -76,19 +77,26 @@ def contradictions(claims: DataFrame) -> DataFrame:
     return claims.filter("status = 'accepted'").groupBy("subject", "predicate").agg(F.array_sort(F.collect_set("object")).alias("objects")).filter(F.size("objects") > 1)
 
 
-def correction_chains(claims: DataFrame, max_depth: int = 32) -> DataFrame:
-    """Each claim with the root of its chain of corrections and its depth; chains are single-parent."""
-    now = claims.select("id", F.col("correction_of").alias("parent"), F.lit(0).cast("long").alias("depth"), F.col("id").alias("root"))
-    done = now.filter("parent is null").select("id", "root", "depth")
-    now = now.filter("parent is not null").select("id", "parent", "depth")
-    parents = claims.select(F.col("id").alias("parent"), F.col("correction_of").alias("above"))
-    for depth in range(1, max_depth + 1):
-        step = now.join(parents, "parent")
-        done = done.unionByName(step.filter("above is null").select("id", F.col("parent").alias("root"), F.lit(depth).cast("long").alias("depth")))
-        now = step.filter("above is not null").select("id", F.col("above").alias("parent"), "depth")
+def correction_chains(claims: DataFrame) -> DataFrame:
+    """Each claim with the root of its chain of corrections, its depth and an outcome; chains are single-parent.
+
+    Chains of any depth end ``ok``, those that lead to a claim that isn't there are ``missing`` (with its id as the
+    root), those in or into a ``cycle`` have no root. By pointer doubling: each round, written to the shared folder,
+    doubles the steps taken, so what the bit length of the number of claims leaves open is a cycle.
+    """
+    parent = F.col("correction_of")
+    first = claims.select("id", F.coalesce(parent, F.col("id")).alias("root"), F.when(parent.isNull(), 0).otherwise(1).cast("long").alias("depth"), F.when(parent.isNull(), "ok").alias("outcome"))
+    known = materialize(first, "chains")
+    done, now = known.filter("outcome is not null"), known.filter("outcome is null")
+    for _ in range(known.count().bit_length()):
         if now.isEmpty():
             break
-    return done
+        jump = done.unionByName(now).select(F.col("id").alias("root"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.coalesce("outcome", F.lit("open")).alias("_outcome"))
+        outcome = F.when(F.col("_outcome").isNull(), "missing").when(F.col("_outcome") != "open", F.col("_outcome"))
+        step = now.join(jump, "root", "left").select("id", F.coalesce("_root", "root").alias("root"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), outcome.alias("outcome"))
+        step = materialize(step, "chains")
+        done, now = done.unionByName(step.filter("outcome is not null")), step.filter("outcome is null")
+    return done.unionByName(now.select("id", F.lit(None).cast(claims.schema["id"].dataType).alias("root"), F.lit(None).cast("long").alias("depth"), F.lit("cycle").alias("outcome")))
 
 
 def read_view_outcomes(checks: DataFrame, versions: DataFrame) -> DataFrame:

@@ -303,3 +303,11 @@ def test_lines_of_short_and_multibyte_turns(spark, tmp_path):
             return "not_a_boundary", None
 
     assert {r.turn: (r.outcome, r.line) for r in registry.queries()["line_locator_all"](spark, str(tmp_path)).collect()} == {i: brute(t) for i, t in enumerate(texts)}
+
+
+def test_correction_chains_of_any_depth_and_cycles(spark):
+    rows = [(i, i - 1 if i else None) for i in range(101)] + [(200, 202), (201, 200), (202, 201), (203, 202), (300, 999), (301, 300), (400, 400)]
+    want = {i: (0, i, "ok") for i in range(101)} | {i: (None, None, "cycle") for i in (200, 201, 202, 203, 400)} | {300: (999, 1, "missing"), 301: (999, 2, "missing")}
+    random.Random(3).shuffle(rows)
+    got = asof.correction_chains(spark.createDataFrame(rows, "id long, correction_of long")).collect()
+    assert len(got) == len(rows) and {r.id: (r.root, r.depth, r.outcome) for r in got} == want
