@@ -91,15 +91,16 @@ def bfs(edges: DataFrame, roots: DataFrame, depth: int | None, direction: str =
     return out.filter("depth > 0").select("root", "node", F.col("depth").cast("long").alias("depth")), counts
 
 
-def shortest_paths(edges: DataFrame, source: str, max_hops: int = 32, max_visits: int = 1_000_000) -> DataFrame:
+def shortest_paths(edges: DataFrame, source: str, max_hops: int | None = None, max_visits: int = 1_000_000) -> DataFrame:
     """Cheapest path from ``source`` to each node by (cost, hops, path in byte order): node, cost, hops, path.
 
-    ``edges``: src, dst, cost. Rounds of relaxation of what improved in the round before, until nothing does.
+    ``edges``: src, dst, cost. Rounds of relaxation of what improved in the round before, until nothing does. A typed
+    error is raised beyond ``max_visits``, or if something can still improve after ``max_hops`` rounds (None: no limit).
     """
     spark = edges.sparkSession
     best = spark.createDataFrame([(source, 0, 0, [source])], "node string, cost long, hops long, path array<string>")
     changed, visits = best, 0
-    for _ in range(max_hops):
+    for hops in count(1):
         reached = changed.join(edges.select(F.col("src").alias("node"), "dst", F.col("cost").alias("step")), "node").filter(~F.array_contains("path", F.col("dst")))
         new = materialize(
             reached.groupBy(F.col("dst").alias("node")).agg(F.min(F.struct((F.col("cost") + F.col("step")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.concat("path", F.array("dst")).alias("path"))).alias("b"), F.count("*").alias("n")).select("node", "b.*", "n"),
@@ -112,6 +113,8 @@ def shortest_paths(edges: DataFrame, source: str, max_hops: int = 32, max_visits
         changed = materialize(new.drop("n").alias("n").join(best.alias("o"), F.col("n.node") == F.col("o.node"), "left").filter(F.col("o.node").isNull() | (rank("n") < rank("o"))).select("n.*"), "changed")
         if changed.isEmpty():
             break
+        if max_hops is not None and hops > max_hops:
+            raise ResourceLimit(f"paths of more than {max_hops} hops")
         best = materialize(best.join(changed, "node", "left_anti").unionByName(changed), "best")
     return best
 

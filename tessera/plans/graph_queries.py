@@ -120,7 +120,7 @@ def _impact(m, roots):
 def shortest_path(spark, m):
     n = F.col("n_nationkey")
     edges = m["nation"].withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).select(n.cast("string").alias("src"), ((n * 7 + 3 * F.col("k") + 1) % 25).cast("string").alias("dst"), ((n * 11 + F.col("k") * 5) % 9 + 1).cast("long").alias("cost"))
-    return graph.shortest_paths(edges, "0", max_hops=12).select("node", "cost", "hops", F.array_join("path", ">").alias("path"))
+    return graph.shortest_paths(edges, "0").select("node", "cost", "hops", F.array_join("path", ">").alias("path"))
 
 
 @query("frame_ancestry", """WITH RECURSIVE f AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 10 = 0 THEN NULL WHEN p_partkey % 50 = 7 THEN p_partkey + 100000 ELSE p_partkey - 1 END AS parent, p_partkey // 500 AS world FROM {part}),

@@ -311,3 +311,13 @@ def test_correction_chains_of_any_depth_and_cycles(spark):
     random.Random(3).shuffle(rows)
     got = asof.correction_chains(spark.createDataFrame(rows, "id long, correction_of long")).collect()
     assert len(got) == len(rows) and {r.id: (r.root, r.depth, r.outcome) for r in got} == want
+
+
+def test_shortest_paths_have_no_silent_limit_of_hops(spark):
+    # a road of 36 cheap steps, and a dear shortcut to its end
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}", 1) for i in range(36)] + [("n0", "n36", 100)], "src string, dst string, cost long")
+    got = {r.node: (r.cost, r.hops) for r in graph.shortest_paths(edges, "n0").collect()}
+    assert got == {f"n{i}": (i, i) for i in range(37)}
+    with pytest.raises(errors.ResourceLimit):
+        graph.shortest_paths(edges, "n0", max_hops=3)
+    assert graph.shortest_paths(edges.filter("src in ('n0', 'n1', 'n2') and dst <> 'n36'"), "n0", max_hops=3).count() == 4
