@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions.values import ascii_lower, claim_bytes, fact_bytes, freshness
-from tessera.operators import ingest, memory, search
+from tessera.operators import asof, ingest, memory, search
+from tessera.plans.record_queries import late, late_of
 from tessera.plans.registry import query
 
 ELIGIBLE = """SELECT f.id FROM {facts} f JOIN {sources} s ON s.source = f.source AND s.version = f.version WHERE f.recorded <= 700 AND (f.terminal_revision IS NULL OR f.terminal_revision > 700)
     AND s.recorded <= 700 AND s.revoked IS NULL AND (s.superseded IS NULL OR s.superseded > 700)"""
+ELIGIBLE_LATE = ELIGIBLE.replace("700", late("facts", "recorded"))
 FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -44,6 +46,29 @@ def get_fact(spark, m):
     return rows.select("id", "subject", "value", fact_bytes(F.col("subject"), F.col("predicate"), F.col("value"), F.size("links")).cast("long").alias("bytes"))
 
 
+@query("fact_eligibility_at_late", ELIGIBLE_LATE)
+def fact_eligibility_at_late(spark, m):
+    return memory.eligible_facts(m["facts"], m["sources"], late_of(m["facts"], "recorded")).select("id")
+
+
+@query("fact_eligibility_denied_late", ELIGIBLE_LATE + " AND f.doc_id % 17 <> 0 AND (f.doc_id - 1) % 17 <> 0 AND (f.doc_id + 3) % 17 <> 0")
+def fact_eligibility_denied_late(spark, m):
+    last_doc = asof.current_revision(m["facts"], "doc_id")
+    denied = spark.range(-17, last_doc + 4, 17).select(F.concat(F.lit("q"), "id").alias("id"))
+    return memory.eligible_facts(_facts(m), m["sources"], late_of(m["facts"], "recorded"), denied).select("id")
+
+
+@query("get_fact_late", ELIGIBLE_LATE.replace("SELECT f.id", "SELECT f.id, f.subject, f.value, 192 + CAST(strlen(f.subject) + 7 + strlen(f.value) AS BIGINT) + 32 AS bytes"))
+def get_fact_late(spark, m):
+    rows = memory.eligible_facts(_facts(m), m["sources"], late_of(m["facts"], "recorded"))
+    return rows.select("id", "subject", "value", fact_bytes(F.col("subject"), F.col("predicate"), F.col("value"), F.size("links")).cast("long").alias("bytes"))
+
+
+@query("one_hop_links_late", f"WITH e AS ({ELIGIBLE_LATE}) SELECT id, position, linked FROM (SELECT id, CAST(p AS BIGINT) AS position, 'q' || CAST(CASE p WHEN 0 THEN doc_id - 1 ELSE doc_id + 3 END AS STRING) AS linked FROM {{facts}}, range(0, 2) t(p)) l WHERE linked IN (SELECT id FROM e)")
+def one_hop_links_late(spark, m):
+    return memory.fact_links(_facts(m), memory.eligible_facts(m["facts"], m["sources"], late_of(m["facts"], "recorded"))).select("id", F.col("position").cast("long").alias("position"), "linked")
+
+
 @query("source_versions_at", "SELECT source, version, recorded, CASE WHEN superseded <= 500 THEN superseded END AS superseded, revoked FROM {sources} WHERE recorded <= 500")
 def source_versions_at(spark, m):
     return memory.source_versions_at(m["sources"], 500)

@@ -17,6 +17,15 @@ def last(view: str, at: str = "9000000000000") -> str:
     return "(" + LAST.replace("{view}", "{" + view + "}").replace("{at}", at) + ")"
 
 
+def late(view: str, order: str = "revision") -> str:
+    """SQL of a revision that most of a table's history takes part in; ``late_of`` has the same number."""
+    return f"(SELECT max({order}) * 9 // 10 FROM {{{view}}})"
+
+
+def late_of(rows, order="revision"):
+    return asof.current_revision(rows, order) * 9 // 10
+
+
 @query("record_at_current", f"SELECT id, version, revision, lifecycle, payload FROM {last('user_versions')} r")
 def record_at_current(spark, m):
     return asof.latest_at(m["user_versions"]).select("id", "version", "revision", "lifecycle", "payload")
@@ -27,6 +36,11 @@ def record_at_revision(spark, m):
     return asof.latest_at(m["user_versions"], 500).select("id", "version", "revision", "lifecycle", "payload")
 
 
+@query("record_at_revision_late", f"SELECT id, version, revision, lifecycle, payload FROM {last('user_versions', late('user_versions'))} r")
+def record_at_revision_late(spark, m):
+    return asof.latest_at(m["user_versions"], late_of(m["user_versions"])).select("id", "version", "revision", "lifecycle", "payload")
+
+
 @query("record_point_get", f"SELECT id, version, revision FROM {last('user_versions', '400')} r WHERE id = 'user:7'")
 def record_point_get(spark, m):
     return asof.record_at(m["user_versions"], "user:7", 400).select("id", "version", "revision")
@@ -47,6 +61,11 @@ def snapshot_counts_by_kind(spark, m):
     return asof.latest_at(m["entity_versions"], 800).groupBy(F.split_part("id", F.lit(":"), F.lit(1)).alias("type"), "lifecycle").agg(F.count("*").alias("n"))
 
 
+@query("snapshot_counts_by_kind_late", f"SELECT split_part(id, ':', 1) AS type, lifecycle, count(*) AS n FROM {last('entity_versions', late('entity_versions'))} r GROUP BY ALL")
+def snapshot_counts_by_kind_late(spark, m):
+    return asof.latest_at(m["entity_versions"], late_of(m["entity_versions"])).groupBy(F.split_part("id", F.lit(":"), F.lit(1)).alias("type"), "lifecycle").agg(F.count("*").alias("n"))
+
+
 @query("visible_records", f"SELECT id, version FROM {last('entity_versions')} r WHERE lifecycle = 'active'")
 def visible_records(spark, m):
     return asof.visible(asof.latest_at(m["entity_versions"])).select("id", "version")
@@ -99,6 +118,13 @@ def snapshot_checkpoint(spark, m):
     return tables.load_snapshot(spark, path, 300, digest).select("id", "version")
 
 
+@query("snapshot_checkpoint_late", f"SELECT id, version FROM {last('user_versions', late('user_versions'))} r")
+def snapshot_checkpoint_late(spark, m):
+    path, at = scratch(spark, "snapshot"), late_of(m["user_versions"])
+    digest = tables.write_snapshot(asof.latest_at(m["user_versions"], at), path, at)
+    return tables.load_snapshot(spark, path, at, digest).select("id", "version")
+
+
 @query("valid_at_instant", """SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE TIMESTAMP '1996-06-01' >= o_orderdate AND TIMESTAMP '1996-06-01' < o_orderdate + INTERVAL 90 DAY END AS holds FROM {orders}""")
 def valid_at_instant(spark, m):
     kind = F.when(F.col("o_orderstatus") == "P", "unknown").otherwise("half_open")
@@ -216,6 +242,13 @@ def promotion_conflicts(spark, m):
     return replay.promotion_conflicts(asof.latest_at(m["user_versions"], 700), now, overlay).select("id")
 
 
+@query("promotion_conflicts_late", f"SELECT n.id FROM {last('user_versions')} n LEFT JOIN {last('user_versions', late('user_versions'))} t ON t.id = n.id WHERE n.version IS DISTINCT FROM t.version AND CAST(split_part(n.id, ':', 2) AS BIGINT) % 5 < 2")
+def promotion_conflicts_late(spark, m):
+    now = asof.latest_at(m["user_versions"])
+    overlay = now.filter(F.split_part("id", F.lit(":"), F.lit(2)).cast("long") % 5 < 2)
+    return replay.promotion_conflicts(asof.latest_at(m["user_versions"], late_of(m["user_versions"])), now, overlay).select("id")
+
+
 @query("latency_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, count(*) AS n FROM {events} GROUP BY event_type")
 def latency_percentiles(spark, m):
     return replay.percentiles(m["events"], ["event_type"], "value").select("event_type", *[F.round(f"p{p}", 6).alias(f"p{p}") for p in (50, 95, 99)], "n")

@@ -321,3 +321,15 @@ def test_shortest_paths_have_no_silent_limit_of_hops(spark):
     with pytest.raises(errors.ResourceLimit):
         graph.shortest_paths(edges, "n0", max_hops=3)
     assert graph.shortest_paths(edges.filter("src in ('n0', 'n1', 'n2') and dst <> 'n36'"), "n0", max_hops=3).count() == 4
+
+
+def test_late_reads_meet_most_of_the_history(spark):
+    from tessera.plans import registry
+    from tessera.plans.project import Model
+
+    m = Model(spark, "/root/testdata/sf0.01")
+    top = asof.current_revision(m["user_versions"])
+    seen = registry.queries()["record_at_revision_late"](spark, m.dir).agg(F.max("revision")).first()[0]
+    assert 0.85 * top < seen <= 0.9 * top
+    newest = registry.queries()["fact_eligibility_at_late"](spark, m.dir).agg(F.max(F.substring("id", 2, 20).cast("long"))).first()[0]
+    assert newest > 0.8 * asof.current_revision(m["facts"], "recorded")
