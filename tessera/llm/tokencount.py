@@ -3,9 +3,10 @@
 Tier one is a compact table from the hash of a frequent pre-token to its number of tokens, at most
 ``table_size`` entries (9 bytes each), which is broadcast. Tier two encodes what isn't in it, through a cache
 that each Python worker keeps. Pre-tokens are cut only where the vocabulary lets no token cross, so their
-counts add up to the library's count of the whole text. Nothing is shuffled.
+counts add up to the library's count of the whole text. No text is shuffled.
 
-The table is made from at most ``table_docs`` documents; it decides how fast a count is, never what it is.
+The table is made from all documents (or ``table_docs`` of them, if given), by an aggregate over the ``table_size``
+most frequent pre-tokens of each partition; it decides how fast a count is, never what it is.
 
 Defined cases: a null text counts as empty and has no tokens; ids may be null or repeat, each row is counted.
 """
@@ -30,8 +31,8 @@ def adapter(path: str) -> type:
     return PieceModel if path.endswith(".model") else WordModel
 
 
-def frequent_lengths(docs: DataFrame, text_col: str, model_path: str, table_size: int, table_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and token counts of the most frequent pre-tokens of a bounded sample."""
+def frequent_lengths(docs: DataFrame, text_col: str, model_path: str, table_size: int, table_docs: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and token counts of the most frequent pre-tokens, merged from those of each partition."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = worker_cache(adapter(model_path), model_path)
@@ -52,13 +53,14 @@ def frequent_lengths(docs: DataFrame, text_col: str, model_path: str, table_size
         top = np.argsort(-count, kind="stable")[:table_size]
         yield pa.RecordBatch.from_arrays([pa.array(seen[top].view(np.int64)), pa.array(count[top]), pa.array(length[top])], names=["h", "n", "size"])
 
-    sample = docs.select(F.col(f"`{text_col}`").cast("string").alias("t")).limit(table_docs)
-    rows = sample.mapInArrow(trimmed(tally), "h long, n long, size long").groupBy("h").agg(F.sum("n").alias("n"), F.max("size").alias("size")).orderBy(F.desc("n"), "h").limit(table_size).toPandas()
+    texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("t"))
+    texts = texts if table_docs is None else texts.limit(table_docs)
+    rows = texts.mapInArrow(trimmed(tally), "h long, n long, size long").groupBy("h").agg(F.sum("n").alias("n"), F.max("size").alias("size")).orderBy(F.desc("n"), "h").limit(table_size).toPandas()
     keep = rows["size"] < 256
     return rows["h"][keep].to_numpy(np.int64).view(np.uint64), rows["size"][keep].to_numpy(np.uint8)
 
 
-def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, table_size: int = 65_536, table_docs: int = 2_000) -> DataFrame:
+def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, table_size: int = 65_536, table_docs: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every row."""
     ship(docs.sparkSession)
     hashes, sizes = frequent_lengths(docs, text_col, model_path, table_size, table_docs)

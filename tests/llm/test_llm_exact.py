@@ -328,3 +328,14 @@ def test_all_take_empty_tables_and_odd_rows(spark):
     assert pack(docs, WORDS_MODEL).filter("start = 0").count() == n
     und = {r.lang_pred for r in language_ids(docs).join(docs.filter("text is null or text in ('', ' ')").select("doc_id"), "doc_id", "left_semi").filter("score = 0").collect()}
     assert "und" in und
+
+
+def test_frequent_pre_tokens_come_from_all_documents(spark):
+    from tessera.llm import tokencount
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    late = ["zebra quagga okapi"] * 3000
+    docs = documents(spark, ["one two three"] * 2500 + late, list(range(5500))).orderBy("doc_id")
+    known = lambda d, *n: set(tokencount.frequent_lengths(d, "text", path, 65_536, *n)[0].tolist())
+    wanted = known(documents(spark, late, list(range(3000))), None)
+    assert wanted <= known(docs, None) and not wanted <= known(docs, 2_000)
