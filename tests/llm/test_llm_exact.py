@@ -50,6 +50,12 @@ def documents(spark, texts=None, ids=None):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row long, key string, fp string, score double").repartition(3)
 
 
+def thue_morse(n):
+    """The word and its complement."""
+    a = "".join("ab"[i.bit_count() & 1] for i in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
 def labels(spark, rows=()):
     return spark.createDataFrame(list(rows), "doc_id long, quality int, toxic int")
 
@@ -61,6 +67,11 @@ def test_decontamination_equals_windows(spark):
     items += [("1", items[1][1]), ("x", None), (None, "w1 w2 w3"), ("same", "a a a a a a a a a a a a")]
     texts = [" ".join(rng.choice(vocab + ["a"]) for _ in range(rng.randint(0, 200))) for _ in range(60)] + [items[5][1] + "." + items[6][1].upper(), "a " * 500, None, ""]
     texts += [t[1] for t in items if t[1]]
+    for n in (64, 512, 1024, 2048):  # words that polynomial hashes take for equal; short and long ones
+        items.append((f"tm{n}", thue_morse(n)[0]))
+        texts += [thue_morse(n)[1], thue_morse(n)[0], "x " + thue_morse(n)[1] + " y"]
+    items += [(f"b{i}", "the same boiler plate stands here in all of them and item " + str(i)) for i in range(50)]
+    texts += ["so: the same boiler plate stands here in all of them and item 7 " * 20, items[5][1] + " " + "z" * 3_000_000 + " z" * 400_000]
     docs = documents(spark, texts, list(range(len(texts))))
     bench = spark.createDataFrame(items, "item_id string, text string")
     windows = defaultdict(set)
@@ -116,6 +127,65 @@ def test_line_runs_compact_and_hold_each_once(spark):
     runs.close()
 
 
+def test_hash_of_spans_is_the_library_s():
+    from tessera.llm._bytes import lanes, xxh64
+
+    rng = np.random.default_rng(0)
+    raw = rng.integers(0, 256, 20_000, dtype=np.uint8)
+    sizes = np.concatenate([np.arange(200), [2048, 2049, 5000]])
+    starts = rng.integers(0, len(raw) - 5000, len(sizes))
+    want = [xxhash.xxh64_intdigest(raw[a : a + n].tobytes(), 42) for a, n in zip(starts, sizes)]
+    assert xxh64(lanes(raw), starts, sizes, 42).tolist() == want
+
+
+@pytest.mark.parametrize("path", [WORDS_MODEL, PIECES_MODEL])
+def test_chunks_with_one_hash_stay_apart(monkeypatch, path):
+    from tessera.llm import _chunkcache
+
+    texts = [t or "" for t in odd_texts()]
+    real = _chunkcache.span_hashes
+    monkeypatch.setattr(_chunkcache, "span_hashes", lambda *a: real(*a) & np.uint64(63))
+    from tessera.llm._bytes import text_column
+    import pyarrow as pa
+
+    model = _chunkcache.adapter(path)(path)
+    for _ in range(2):
+        ids, n = _chunkcache.ChunkCache(model).encode(*text_column(pa.array(texts)))
+        whole = [model.model.encode(t, add_special_tokens=False).ids if path.endswith(".json") else model.model.encode(t) for t in texts]
+        assert ids.tolist() == [i for x in whole for i in x] and n.tolist() == [len(x) for x in whole]
+
+
+def test_unknown_tokenizers_are_refused_or_whole(spark, tmp_path):
+    from tessera.llm._chunkcache import WholeModel, adapter
+
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    assert adapter(other) is WholeModel
+    import tokenizers
+
+    texts = [t or "" for t in odd_texts()]
+    want = [len(x.ids) for x in tokenizers.Tokenizer.from_file(other).encode_batch(texts, add_special_tokens=False)]
+    rows = token_counts(documents(spark, texts, list(range(len(texts)))), other).collect()
+    assert {r.doc_id: r.n_tokens for r in rows} == dict(enumerate(want))
+    with pytest.raises(ValueError):
+        adapter(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def test_very_long_texts_count_and_pack_whole(spark):
+    import sentencepiece
+    import tokenizers
+
+    rng = random.Random(9)
+    vocab = [t for t in odd_texts() if t and len(t) < 400]
+    texts = [thue_morse(n)[i] for n in (512, 1024, 2048) for i in (0, 1)] + [" ".join(rng.choice(vocab) for _ in range(40_000)), None, "short"]
+    assert len(texts[6].encode()) > 2 << 20
+    docs = documents(spark, texts, list(range(len(texts))))
+    pieces = [len(x) for x in sentencepiece.SentencePieceProcessor(model_file=PIECES_MODEL).encode([t or "" for t in texts])]
+    assert {r.doc_id: r.n_tokens for r in token_counts(docs, PIECES_MODEL, table_size=64).collect()} == dict(enumerate(pieces))
+    ids = [x.ids + [1] for x in tokenizers.Tokenizer.from_file(WORDS_MODEL).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for r in pack(docs, WORDS_MODEL).collect():
+        assert zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32
+
+
 @pytest.mark.parametrize("path", [WORDS_MODEL, PIECES_MODEL])
 def test_token_counts_equal_the_library(spark, path):
     texts = odd_texts()
@@ -336,6 +406,6 @@ def test_frequent_pre_tokens_come_from_all_documents(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     late = ["zebra quagga okapi"] * 3000
     docs = documents(spark, ["one two three"] * 2500 + late, list(range(5500))).orderBy("doc_id")
-    known = lambda d, *n: set(tokencount.frequent_lengths(d, "text", path, 65_536, *n)[0].tolist())
+    known = lambda d, *n: set(tokencount.frequent(d, "text", path, 65_536, *n))
     wanted = known(documents(spark, late, list(range(3000))), None)
     assert wanted <= known(docs, None) and not wanted <= known(docs, 2_000)
