@@ -12,16 +12,21 @@ from pyspark.sql import functions as F
 
 from tessera.session import materialize
 
+HOT = 4096
+
 
 def _sign(links: DataFrame) -> tuple:
     row = links.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x")).first()
     return row["n"], row["x"]
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
+def _star(links: DataFrame, large: bool, n: int) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    near = both.join(low, "a")
+    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+    # nodes with more than one in HOT of the links are at most HOT many: they are broadcast, others joined
+    hot, cold = low.filter(F.col("n") * HOT > n).select("a", F.col("m").alias("hot")), low.filter(F.col("n") * HOT <= n).select("a", "m")
+    marked = both.join(F.broadcast(hot), "a", "left")
+    near = marked.filter("hot is not null").select("a", "b", F.col("hot").alias("m")).unionByName(marked.filter("hot is null").join(cold, "a").select("a", "b", "m"))
     if large:
         out = near.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -34,7 +39,8 @@ def components(links: DataFrame) -> DataFrame:
     now = materialize(links.select("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = _sign(now)
     while before[0]:
-        now = materialize(_star(_star(now, True), False), "links")
+        big = materialize(_star(now, True, 2 * before[0]), "links")
+        now = materialize(_star(big, False, before[0]), "links")
         after = _sign(now)
         if after == before:
             break

@@ -3,14 +3,19 @@
 A text's fingerprint is the majority of each bit over the XXH64 values of its word shingles. Different
 fingerprints only are compared, so a group of exact copies costs one row. They are put into blocks by
 population count; two blocks whose population counts differ by more than the radius hold no pair within it
-and never meet. Every other pair of blocks is a task of bounded size, in which tiles are compared with
+and never meet. Every other pair of blocks is a task of fixed size, in which tiles are compared with
 exclusive-or and bit counts, again skipping tile pairs by the population counts of the two halves. A task
 returns a spanning forest of its links, not the links, so a group of thousands of near copies gives
 thousands of rows; the forests are joined by connected components.
 
+Exact comparison of N different fingerprints is N * N / 2 bit counts but for the skipped tiles; blocks keep
+their size, so a larger table has more tasks, not longer ones. Fingerprints that hold more than one in
+``HOT`` rows (at most ``HOT`` of them) get their component by a broadcast, all others by a join.
+
 Defined cases: a null or empty text has no words and fingerprint zero, linked like any other; a text of
-fewer words than a shingle is one shingle; every input row gives one row; a null id has its row and is
-passed over when the smallest id of a component is taken (null if there is no other).
+fewer words than a shingle is one shingle; very long texts are whole, each a block of its own; every input
+row gives one row, ties and repeats too; a null id has its row and is passed over when the smallest id of a
+component is taken (null if there is no other); an empty table gives none; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -22,36 +27,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._bytes import trimmed
-from tessera.llm.components import components, forest
+from tessera.llm._bytes import LOWER, lanes, ragged, row_blocks, row_of, spans, text_column, trimmed, xxh64
+from tessera.llm.components import HOT, components, forest
 from tessera.session import materialize, ship
 
 BITS = 64
 TILE = 512
 SHIFT = np.arange(BITS, dtype=np.uint64)
-
-
-def fingerprint(text: str, size: int = 4, seed: int = 42) -> int:
-    """The fingerprint of one text."""
-    import xxhash
-
-    raw = text.encode("utf-8", "surrogatepass").lower()
-    words = raw.split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    starts = ends - lengths
-    if len(words) > size:
-        starts, ends = starts[: len(words) - size + 1], ends[size - 1 :]
-    else:
-        starts, ends = starts[:1], ends[-1:]
-    votes, digest = np.zeros(BITS, np.int64), xxhash.xxh64_intdigest
-    for i in range(0, len(starts), 1 << 16):  # bounded memory for very long texts
-        h = np.array([digest(joined[a:b], seed) for a, b in zip(starts[i : i + (1 << 16)].tolist(), ends[i : i + (1 << 16)].tolist())], np.uint64)
-        votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int((np.uint64(1) << SHIFT)[votes * 2 > len(starts)].sum(dtype=np.uint64))
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+NOT_SPACE = ~SPACE
+
+
+def fingerprints_of(buf: np.ndarray, offsets: np.ndarray, size: int = 4, seed: int = 42) -> np.ndarray:
+    """The fingerprint of every row of a block of texts."""
+    n = len(offsets) - 1
+    folded = LOWER[buf]
+    space = SPACE[folded]
+    keep = ~space
+    keep[1:] |= ~space[:-1]  # of a run of white space the first byte stays, as a space
+    keep[offsets[:-1][offsets[:-1] < len(buf)]] = True
+    at = np.concatenate([[0], np.cumsum(keep)])[offsets]
+    joined = np.where(space, np.uint8(32), folded)[keep]
+    starts, ends, counts = spans(joined, at, NOT_SPACE)
+    shingles = np.where(counts > 0, np.maximum(1, counts - size + 1), 0)
+    before = np.cumsum(counts) - counts
+    first = ragged(before, shingles)
+    row = row_of(shingles)
+    last = np.minimum(first + size, (before + counts)[row]) - 1
+    a, length, view = starts[first], ends[last] - starts[first], lanes(joined)
+    votes = np.zeros((n, BITS), np.int64)
+    for i in range(0, len(a), 1 << 16):
+        part = slice(i, i + (1 << 16))
+        bits = np.unpackbits(xxh64(view, a[part], length[part], seed).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        new = np.flatnonzero(np.diff(row[part], prepend=-1))
+        votes[row[part][new]] += np.add.reduceat(bits, new, axis=0, dtype=np.int64)
+    return ((votes * 2 > shingles[:, None]) * (np.uint64(1) << SHIFT)).sum(axis=1, dtype=np.uint64)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
@@ -60,8 +71,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.fromiter((fingerprint(t.as_py() or "", size) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            buf, at = text_column(batch.column(1))
+            for i, j in row_blocks(at):
+                fp = fingerprints_of(buf[at[i] : at[j]], at[i : j + 1] - at[i], size)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")).mapInArrow(trimmed(scan), f"doc_id {kind}, fp long")
 
@@ -104,9 +117,7 @@ def near_links(prints: DataFrame, radius: int = 4, block_rows: int = 32_768) ->
     spark = prints.sparkSession
     ship(spark)
     counted = {r["p"]: r["n"] for r in prints.groupBy(F.bit_count("fp").alias("p")).agg(F.count("*").alias("n")).collect()}
-    # 65 counts; blocks grow with the table, so that at most about 256 + 65 of them meet each other
-    rows = max(block_rows, sum(counted.values()) // 256)
-    blocks = [-(-counted.get(p, 0) // rows) for p in range(BITS + 1)]
+    blocks = [-(-counted.get(p, 0) // block_rows) for p in range(BITS + 1)]
     base = np.concatenate([[0], np.cumsum(blocks)]).tolist()
     low = [base[max(0, p - radius)] for p in range(BITS + 1)]
     high = [base[min(BITS, p + radius) + 1] for p in range(BITS + 1)]
@@ -130,9 +141,16 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row."""
     ship(docs.sparkSession)
     prints = materialize(fingerprints(docs, id_col, text_col, size), "prints")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "classes")
     roots = components(near_links(classes.select("fp"), radius))
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    linked = classes.join(roots, classes.fp == roots.node).select("fp", "first", "n", "root")
+    smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = linked.join(smallest, "root").select("fp", "n", "component_id").unionByName(classes.join(roots, classes.fp == roots.node, "left_anti").filter("n > 1").select("fp", "n", F.col("first").alias("component_id")))
+    named = materialize(named, "named")  # fingerprints of one row without a link need none
+    total = named.agg(F.sum("n")).first()[0] or 0
+    hot = named.filter(F.col("n") * HOT > total).select("fp", F.lit(True).alias("hot"), F.col("component_id").alias("hot_id"))
+    cold = named.filter(F.col("n") * HOT <= total).select("fp", F.lit(True).alias("cold"), "component_id")
+    print_ = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    marked = prints.join(F.broadcast(hot), "fp", "left")
+    found = marked.filter("hot is null").join(cold, "fp", "left").select("doc_id", print_, F.when(F.col("cold"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return marked.filter("hot").select("doc_id", print_, F.col("hot_id").alias("component_id")).unionByName(found)

@@ -89,7 +89,8 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     ship(docs.sparkSession)
     parts = frequent(docs, text_col, model_path, table_size, table_docs)
     cache = ChunkCache(adapter(model_path)(model_path))
-    sizes = cache.length[cache.learn(None, parts)] if parts else np.zeros(0, np.int32)
+    known = cache.learn(None, parts)
+    sizes = cache.length[known]
     shared = docs.sparkSession.sparkContext.broadcast((parts, sizes))
     name = uuid.uuid4().hex
     kind = docs.schema[id_col].dataType.simpleString()
@@ -129,7 +130,8 @@ def two_tiers(cache: ChunkCache, table: SpanTable, sizes: np.ndarray, buf: np.nd
     known, missed = np.flatnonzero(entry >= 0), np.flatnonzero(entry < 0)
     size[known] = sizes[entry[known]]
     if len(missed):
-        size[missed] = cache.length[cache.entries(view, starts[missed], lengths[missed], h[missed])]
+        entry = cache.entries(view, starts[missed], lengths[missed], h[missed])
+        size[missed] = cache.length[entry]
     total = np.concatenate([[0], np.cumsum(size)])
     at = np.cumsum(per_row)
     return total[at] - total[at - per_row]

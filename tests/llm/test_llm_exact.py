@@ -176,7 +176,8 @@ def test_very_long_texts_count_and_pack_whole(spark):
 
     rng = random.Random(9)
     vocab = [t for t in odd_texts() if t and len(t) < 400]
-    texts = [thue_morse(n)[i] for n in (512, 1024, 2048) for i in (0, 1)] + [" ".join(rng.choice(vocab) for _ in range(40_000)), None, "short"]
+    vocab += [f"{w}{rng.randrange(10**6):x}" for w in ("qu", "Ze", "ö") for _ in range(4_000)]
+    texts = [thue_morse(n)[i] for n in (512, 1024, 2048) for i in (0, 1)] + [" ".join(rng.choice(vocab) for _ in range(300_000)), None, "short"]
     assert len(texts[6].encode()) > 2 << 20
     docs = documents(spark, texts, list(range(len(texts))))
     pieces = [len(x) for x in sentencepiece.SentencePieceProcessor(model_file=PIECES_MODEL).encode([t or "" for t in texts])]
