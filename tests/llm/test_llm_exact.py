@@ -340,24 +340,48 @@ def test_language_held_out(spark):
     assert language_ids(docs).exceptAll(other).isEmpty()
 
 
+def slow_phrases(text, corpus):
+    """Longest phrases from left to right; a byte that the corpus lacks is one."""
+    i = n = 0
+    while i < len(text):
+        size = 0
+        while i + size < len(text) and text[i : i + size + 1] in corpus:
+            size += 1
+        i += max(1, size)
+        n += 1
+    return n
+
+
 def test_parse_equals_longest_phrases():
-    from tessera.llm.language import Parser
-
-    parser = Parser({"x": b"abracadabra", "y": b"banana band"})
-    text = b"abrabananaqbandcad"
-    known = [b"abracadabra", b"banana band"]
-    got = parser.phrases(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-    for k, corpus in enumerate(known):
-        i = n = 0
-        while i < len(text):
-            size = 1
-            while i + size <= len(text) and text[i : i + size] in corpus:
-                size += 1
-            step = max(1, size - 1)
-            i += step
-            n += i < len(text)
-        # an unknown byte is skipped by the automaton with the phrase that it ends
-        assert abs(got[k, 0] - n) <= sum(bytes([c]) not in corpus for c in text)
+    from tessera.llm import language
+
+    rng = random.Random(4)
+    known = {"x": b"abracadabra", "y": b"banana band", "z": bytes(rng.choice(b"abcdr ") for _ in range(700)), "w": b"z"}
+    parser = language.Parser(known)
+    clean = {k: re.sub(b" +", b" ", v) for k, v in known.items()}
+    texts = [b"abrabananaqbandcad", b"", b" ", b"q", b"abra" * 5_000, bytes(rng.choice(b"abcdrnq ") for _ in range(12_000)), b"abracadabra" * 30, bytes(rng.choice(b"abn") for _ in range(257))]
+    for piece in (1 << 20, 5_000):  # a text in one piece, or in several
+        language.PIECE = piece
+        try:
+            got = parser.phrases(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+        finally:
+            language.PIECE = 1 << 20
+        for k, name in enumerate(parser.languages):
+            assert got[k].tolist() == [slow_phrases(re.sub(b" +", b" ", t), clean[name]) for t in texts]
+
+
+def test_every_language_is_learned(spark):
+    from tessera.llm.language import training_texts
+
+    rng = random.Random(7)
+    names = [f"l{i:03d}" for i in range(120)]
+    alphabets = {n: [chr(rng.randrange(97, 123)) + chr(rng.randrange(0x400, 0x450)) + chr(rng.randrange(97, 123)) for _ in range(60)] for n in names}
+    say = lambda n, m: " ".join(rng.choice(alphabets[n]) for _ in range(m))
+    rows = [(i, say(n, 900 if k == 119 else 150), n) for i, (k, n) in enumerate((k, n) for k, n in enumerate(names) for _ in range(12))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(training_texts(docs, "doc_id", "text", "lang", (4, 2), 96_000, 2_000, 4_000, 256)) == names  # the last has long documents only
+    found = language_ids(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert len({r.lang for r in found}) > 96 and sum(r.lang == r.lang_pred for r in found) > 0.97 * len(found)
 
 
 def test_quality_and_toxicity_held_out(spark):
