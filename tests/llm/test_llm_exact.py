@@ -434,3 +434,108 @@ def test_frequent_pre_tokens_come_from_all_documents(spark):
     known = lambda d, *n: set(tokencount.frequent(d, "text", path, 65_536, *n))
     wanted = known(documents(spark, late, list(range(3000))), None)
     assert wanted <= known(docs, None) and not wanted <= known(docs, 2_000)
+
+
+def slow_licenses(text, templates, k=5, drift=3, min_cover=0.6):
+    """Labels and the best cover of a text, from all pairs of equal k-grams."""
+    w, labels_, best = words(text), set(), 0.0
+    for label, template in templates:
+        t = words(template)
+        size = min(k, len(t))
+        hits = [(p, a) for a in range(len(t) - size + 1) for p in range(len(w) - size + 1) if w[p : p + size] == t[a : a + size]]
+        places, last = [], None
+        for d in sorted({p - a for p, a in hits}):
+            if last is None or d - last > drift:
+                places.append(set())
+            places[-1].add(d)
+            last = d
+        for ds in places:
+            cover = len({i for p, a in hits if p - a in ds for i in range(a, a + size)}) / len(t)
+            if cover == 1 if len(t) < 8 else cover >= min_cover:
+                labels_.add(label)
+                best = max(best, cover)
+    return ",".join(sorted(labels_)), best
+
+
+def test_licenses_equal_brute_force(spark):
+    from tessera.llm.licenses import PHRASES, TEMPLATES
+
+    rng = random.Random(12)
+    every = [*PHRASES, *TEMPLATES]
+    texts = [None, "", "cc", "by " * 7, "CC BY " * 20_000]
+    for _ in range(40):
+        w = []
+        for _ in range(rng.randint(1, 4)):
+            part = words(rng.choice(every)[1])
+            for _ in range(rng.randint(0, 6)):
+                i = rng.randrange(len(part))
+                part[i : i + rng.randint(0, 2)] = rng.sample(["the", "software", "zzz", "license", "of"], rng.randint(0, 2))
+            w += part[rng.randint(0, 3) :] + ["filler"] * rng.randint(0, 5)
+        texts.append(" ".join(w))
+    rows = {r.doc_id: r for r in license_scan(documents(spark, texts, list(range(len(texts))))).collect()}
+    assert rows[4].n_base == 20_000 and (rows[4].first_word, rows[4].last_word, rows[4].labels) == (0, 39_998, "cc-by")
+    for d, t in enumerate(texts):
+        if d != 4:
+            labels_, best = slow_licenses(t, every)
+            assert rows[d].labels == labels_ and abs(rows[d].score - best) < 1e-9
+
+
+def test_nnpu_gradient_and_calibration():
+    from tessera.llm._fit import isotonic
+    from tessera.llm.toxicity import fit_nnpu
+
+    rng = np.random.default_rng(3)
+    x = (rng.random((400, 6)) < 0.3).astype(np.float32)
+    positive = (x[:, 0] > 0) & (rng.random(400) < 0.5)
+    # the first step of Adam is the sign of the risk's slope, taken here from differences of the risk
+    rates, prior, decay = 0.05, 0.2, 1e-4
+
+    def risk(w, b):
+        g = x.astype(float) @ w + b
+        gp, gu = g[positive], g[~positive]
+        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+        return prior * np.logaddexp(0, -gp).mean() + negative + decay / 2 * (w @ w), negative
+
+    w0 = np.random.default_rng(0).normal(0, 0.01, 6)
+    assert risk(w0, -1.0)[1] > 0
+    w1, b1 = fit_nnpu(x, positive, prior, steps=1, rate=rates, decay=decay)
+    slope = [(risk(w0 + 1e-5 * np.eye(6)[i], -1.0)[0] - risk(w0 - 1e-5 * np.eye(6)[i], -1.0)[0]) / 2e-5 for i in range(6)]
+    assert np.allclose(w1, w0 - rates * np.sign(slope), atol=1e-4)
+    w, b = fit_nnpu(x, positive, prior, steps=400)
+    score = x @ w + b
+    assert score[x[:, 0] > 0].mean() > score[x[:, 0] == 0].mean() + 1 and np.isfinite(w).all()
+    for _ in range(50):  # pooling neighbours is the least-squares fit: no non-decreasing one is better
+        n = rng.integers(0, 5, 8).astype(float)
+        n[0] += 1
+        p = np.floor(rng.random(8) * (n + 1))
+        fit = isotonic(n, p)
+        loss = lambda f: (n * f * f - 2 * p * f).sum()
+        grid = np.sort(rng.random((2_000, 8)), axis=1)
+        assert (np.diff(fit) >= 0).all() and loss(fit) <= min(loss(f) for f in grid) + 1e-9
+
+
+def test_quality_equals_numpy(spark):
+    """Every step again on whole arrays: statistics, features, normal equations, calibration."""
+    from tessera.llm._bytes import text_column
+    from tessera.llm._fit import isotonic
+    from tessera.llm.quality import BINS, Kernel, statistics
+
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["good", "Text.", "!!!", "x1", "spam"]) for _ in range(rng.randint(1, 80))) for _ in range(120)] + [None, ""]
+    y = [int("!!!" not in (t or "!!!")[:40]) for t in texts]
+    known = [(i, v, 0) for i, v in enumerate(y)] + [(3, 1, 0)]
+    rows = {r.doc_id: r for r in quality_scores(documents(spark, texts, list(range(len(texts)))), labels(spark, known)).collect()}
+    y[3] = max(y[3], 1)
+    x = statistics(*text_column(pa.array(texts, pa.string()))).astype(np.float32).astype(float)
+    fold = np.array([zlib.crc32(str(i).encode()) % 5 for i in range(len(texts))])
+    y, a, c = np.array(y, float), fold >= 2, fold == 1
+    kernel = Kernel(x[a].mean(axis=0), x[a].std(axis=0), 256, 6.0, 11)
+    z = kernel(x)
+    w = np.linalg.lstsq(np.vstack([z[a], np.sqrt(1e-3 * a.sum() + 1e-6) * np.eye(257)]), np.concatenate([y[a], np.zeros(257)]), rcond=None)[0]
+    place = np.clip((z @ w + 0.5) / 2 * BINS, 0, BINS - 1).astype(int)
+    rates = isotonic(np.bincount(place[c], minlength=BINS), np.bincount(place[c], weights=y[c], minlength=BINS))
+    close = [abs(rows[i].score - rates[place[i]]) < 1e-6 for i in range(len(texts))]
+    assert np.mean(close) > 0.98  # a value on a bin's edge may fall to either side
+    assert all(rows[i].held_out == (fold[i] == 0) and rows[i].predicted == (rows[i].score >= 0.3) for i in rows)
