@@ -1,18 +1,21 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Inputs are the presence of hashed words and word beginnings. Candidates are features that enough confirmed
-toxic documents hold; of them those are kept that are more frequent there than in unlabelled text. Linear
-classifiers in numpy are trained on confirmed toxic and unlabelled documents by the risk
-``pi R_p(+) + max(0, R_u(-) - pi R_p(-))`` with the class prior ``pi``, the share of toxic labels among
-training labels; the non-negative part keeps the flexible model from fitting the unlabelled set away. The
-score is the mean of the classifiers' probabilities.
-
-Bounds, all parameters: ``max_positive`` and ``max_unlabelled`` training documents (picked by a hash of the
-id), ``max_candidates`` and ``max_features`` features. Scoring covers whole texts of all rows.
-
-Defined cases: a null or empty text has no feature and gets the score of the bias; without a confirmed
-toxic document every score is 0; a null id is in the held-out fold; each row is scored; a document with
-several labels counts as toxic if one says so.
+Inputs are the presence of hashed words and word beginnings. Linear classifiers in numpy are trained on
+confirmed toxic and unlabelled documents by the risk ``pi R_p(+) + max(0, R_u(-) - pi R_p(-))`` with the class
+prior ``pi``, the share of toxic labels among training labels; the non-negative part keeps the flexible model
+from fitting the unlabelled set away. The score is the mean of the classifiers' probabilities.
+
+The classifiers are fitted on a bounded sample of rows: about ``max_positive`` confirmed toxic and
+``max_unlabelled`` unlabelled documents, picked by a hash of the id, whole texts of them. Their features are
+written once; which ones a classifier looks at (at most ``max_features``, a size of the model) is decided on
+that sample, by how much more frequent they are in toxic documents than chance allows. Documents are read
+twice: for the sample and for the scores (and their ids once, for the sampling rate); scoring covers whole
+texts of all rows.
+
+Defined cases: a null or empty text has no feature and gets the score of the bias; very long texts are whole,
+each a block of its own; without a confirmed toxic document every score is 0, and if none has a text in
+``docs`` too; a null id is in the held-out fold; each row is scored, ties and repeats alike; an empty table
+gives none; a document with several labels counts as toxic if one says so; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql.types import StructType
 
 from tessera.llm._bytes import row_blocks, row_of, text_column, trimmed, words
 from tessera.llm._fit import fold
-from tessera.session import ship
+from tessera.session import materialize, ship
 
 PREFIXES = (4, 5, 6, 8)
 
@@ -59,7 +62,7 @@ def _filter(hashes: np.ndarray) -> np.ndarray:
 
 
 def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-4, seed: int = 0) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear classifier by full-batch Adam on the non-negative risk (logistic loss)."""
+    """Weights and bias of a linear classifier by full-batch Adam on the non-negative risk (logistic loss); both classes have rows."""
     rng = np.random.default_rng(seed)
     w = np.append(rng.normal(0, 0.01, x.shape[1]), -1.0)
     m, v = np.zeros_like(w), np.zeros_like(w)
@@ -79,7 +82,7 @@ def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 300
     return w[:-1], float(w[-1])
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5, max_positive: int = 6_000, max_unlabelled: int = 12_000, max_candidates: int = 32_768, max_features: int = 512, classifiers: int = 3, whole: bool = False) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5, max_positive: int = 6_000, max_unlabelled: int = 12_000, max_features: int = 512, classifiers: int = 3, whole: bool = False) -> DataFrame:
     """doc_id, held_out, score and predicted of every row; with ``whole`` also the row itself as a struct ``document``."""
     spark = docs.sparkSession
     ship(spark)
@@ -89,72 +92,51 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     names, inner = ["document"] if whole else [], docs.columns.index(text_col)
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).filter("y is not null and id is not null").filter(fold(F.col("id"), 5) != 0).groupBy("id").agg(F.max("y").alias("y"))
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    nothing = texts.select(F.col("id").alias("doc_id"), (fold(F.col("id"), 5) == 0).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), *names)
     if not toxic:
-        return texts.select(F.col("id").alias("doc_id"), (fold(F.col("id"), 5) == 0).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), *names)
+        return nothing
     prior = min(0.95, toxic / n)
-    slot = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_000)) / 1e6
-    chosen = known.filter("y = 1").filter(slot < max_positive / toxic).select("id")  # about max_positive ids
-    n_rows = texts.filter("id is not null").filter(fold(F.col("id"), 5) != 0).count()
-    positive = texts.join(F.broadcast(chosen), "id", "left_semi").select("t", F.lit(True).alias("p"))
-    unlabelled = texts.filter("id is not null").filter(fold(F.col("id"), 5) != 0).filter(slot < max_unlabelled / max(1, n_rows)).select("t", F.lit(False).alias("p"))
+    slot = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "id"), 11) / float(1 << 53)
+    chosen = known.filter("y = 1").filter(slot < max_positive / toxic).select("id", F.lit(True).alias("p"))  # about max_positive ids
+    training = F.col("id").isNotNull() & (fold(F.col("id"), 5) != 0)
+    n_rows = texts.filter(training).count()
+    marked = texts.filter(training).join(F.broadcast(chosen), "id", "left").select("t", F.coalesce("p", F.lit(False)).alias("p"), (slot < max_unlabelled / max(1, n_rows)).alias("u"))
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = text_column(batch.column(0))
-            for i, j in row_blocks(offsets, 1 << 21):
+            for i, j in row_blocks(offsets, 1 << 19):
                 row, h = row_features(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                order = np.lexsort((row, h))
+                order = np.lexsort((h, row))
                 row, h = row[order], h[order]
                 new = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])]) if len(h) else np.zeros(0, bool)
-                u, count = np.unique(h[new], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(count), pa.array(np.full(len(u), j - i))], names=["h", "n", "rows"])
-
-    least = max(3, int(0.002 * min(toxic, max_positive)))
-    top = positive.select("t").mapInArrow(trimmed(tally), "h long, n long, rows long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(max_candidates).toPandas().sort_values("h")
-    order = np.argsort(top["h"].to_numpy(np.int64).view(np.uint64))
-    hashes, held = top["h"].to_numpy(np.int64).view(np.uint64)[order], top["n"].to_numpy(np.int64)[order]
-    candidates = spark.sparkContext.broadcast(hashes)
-
-    def background(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_hashes = candidates.value
-        seen, count, rows_seen = _filter(known_hashes), np.zeros(len(known_hashes) + 1, np.int64), 0
-        for batch in batches:
-            buf, offsets = text_column(batch.column(0))
-            for i, j in row_blocks(offsets):
-                _, at = known_features(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], known_hashes, seen)
-                count[:-1] += np.bincount(at, minlength=len(known_hashes))
-            rows_seen += batch.num_rows
-        count[-1] = rows_seen
-        yield pa.RecordBatch.from_arrays([pa.array([count.tobytes()], pa.binary())], names=["s"])
-
-    sums = unlabelled.select("t").coalesce(24).mapInArrow(trimmed(background), "s binary").collect()
-    counts = sum((np.frombuffer(r["s"], np.int64) for r in sums), np.zeros(len(hashes) + 1, np.int64))
-    expected = (counts[:-1] + 1) / max(1, counts[-1]) * min(toxic, max_positive)
-    ratio = held / expected
+                row, h = row[new], h[new]
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(j - i + 1)), pa.int32()), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([lists, *(c.slice(i, j - i) for c in batch.columns[1:])], names=["f", "p", "u"])
+
+    sample = materialize(marked.filter("p or u").mapInArrow(trimmed(features), "f array<long>, p boolean, u boolean"), "sample")
+    n_p, n_u = sample.agg(F.count_if("p"), F.count_if("u")).first()
+    if not n_p or not n_u:
+        return nothing
+    least = max(3, int(0.002 * n_p))
+    tally = sample.select(F.explode("f").alias("h"), "p", "u").groupBy("h").agg(F.count_if("p").alias("held"), F.count_if("u").alias("seen")).filter(F.col("held") >= least)
+    n_candidates = tally.count()
+    held, expected = F.col("held"), (F.col("seen") + 1) / F.lit(float(n_u)) * F.lit(float(n_p))
     # a feature of toxic documents only is at most 1 / prior times as frequent among them as in all text;
     # the likelihood ratio must also be beyond what the best of so many candidates reaches by chance
-    gain = held * np.log(np.maximum(ratio, 1)) - np.maximum(held - expected, 0)
-    gain = np.where((ratio > max(1.2, 0.4 / prior)) & (gain > np.log(max(2, len(hashes))) + 4), gain, 0)
-    best = np.sort(np.argsort(-gain, kind="stable")[: min(max_features, int((gain > 0).sum()))])
-    chosen_hashes = hashes[best]
-    features = spark.sparkContext.broadcast(chosen_hashes)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_hashes = features.value
-        seen = _filter(known_hashes)
-        for batch in batches:
-            buf, offsets = text_column(batch.column(0))
-            for i, j in row_blocks(offsets):
-                r, at = known_features(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], known_hashes, seen)
-                ends = np.searchsorted(r, np.arange(j - i + 1))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at, pa.int32()))
-                yield pa.RecordBatch.from_arrays([lists, batch.column(1).slice(i, j - i)], names=["f", "p"])
-
-    sample = positive.unionByName(unlabelled).mapInArrow(trimmed(encode), "f array<int>, p boolean").toPandas()
-    x = np.zeros((len(sample), len(chosen_hashes)), np.float32)
-    for i, at in enumerate(sample["f"]):
+    gain = held * F.log(F.greatest(held / expected, F.lit(1.0))) - F.greatest(held - expected, F.lit(0.0))
+    good = (held / expected > max(1.2, 0.4 / prior)) & (gain > float(np.log(max(2, n_candidates)) + 4))
+    best = tally.filter(good).select("h", gain.alias("gain")).orderBy(F.desc("gain"), "h").limit(max_features).select("h").collect()
+    chosen_hashes = np.sort(np.array([r["h"] for r in best], np.int64).view(np.uint64))
+    wanted = F.array(*[F.lit(int(h)) for h in chosen_hashes.view(np.int64)]).cast("array<long>")
+    found = sample.select(F.array_intersect("f", wanted).alias("f"), "p", "u").toPandas()
+    place = {h: i for i, h in enumerate(chosen_hashes.view(np.int64).tolist())}
+    rows_p, rows_u = ([[place[h] for h in f] for f in found["f"][found[c]]] for c in ("p", "u"))  # a toxic one may be in both
+    x = np.zeros((len(rows_p) + len(rows_u), len(chosen_hashes)), np.float32)
+    for i, at in enumerate(rows_p + rows_u):
         x[i, at] = 1
-    fitted = [fit_nnpu(x, sample["p"].to_numpy(bool), prior, seed=s) for s in range(classifiers)]
+    positive = np.arange(len(x)) < len(rows_p)
+    fitted = [fit_nnpu(x, positive, prior, seed=s) for s in range(classifiers)]
     model = spark.sparkContext.broadcast((chosen_hashes, np.array([w for w, _ in fitted]), np.array([b for _, b in fitted])))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
