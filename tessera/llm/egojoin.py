@@ -7,12 +7,14 @@ in a direction hold no link and don't meet. A pair of blocks that may is one bou
 two sequences recursively: intervals that are provably distant are skipped, others are halved until they
 are small enough to compare exactly, in double precision.
 
-Equal vectors of a label are one class and are compared once. A task returns sums of links and a spanning
+Equal vectors of a label (found by 128 bits of hashes) are one class with a number of its own and are
+compared once; classes with more than one in ``HOT`` rows are told their rows by a broadcast, others by a join. A task returns sums of links and a spanning
 forest, so no group of copies is expanded into its pairs.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing,
 nor do rows with a null label; vectors of different lengths don't link; each row gives one row; a null id is
-passed over when the smallest id of a component is taken; kept is whether an id is its component's smallest.
+passed over when the smallest id of a component is taken; kept is whether an id is its component's smallest;
+ties and repeated rows link like others; an empty table gives none; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._bytes import trimmed
-from tessera.llm.components import components, forest
+from tessera.llm.components import HOT, components, forest
 from tessera.session import materialize, ship
 
 LEAF = 128
@@ -110,13 +112,13 @@ def vector_dedup(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     good = F.col(f"`{label_col}`").isNotNull() & raw.isNotNull() & F.coalesce(F.forall(raw, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))), F.lit(False)) & F.coalesce(F.exists(raw, lambda v: v != 0), F.lit(False))
     base = materialize(
         rows.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(good, F.lit(False)).alias("good"), F.col(f"`{label_col}`").cast("string").alias("label"), raw.alias("vector"))
-        .withColumn("class", F.when(F.col("good"), F.xxhash64("label", "vector"))), "vectors")
-    classes = base.filter("good").groupBy("class", "label", "vector").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+        .withColumns({"h1": F.when(F.col("good"), F.xxhash64("label", "vector")), "h2": F.when(F.col("good"), F.xxhash64(F.lit("second"), "label", "vector"))}), "vectors")
+    classes = materialize(base.filter("good").groupBy("h1", "h2", "label", "vector").agg(F.min("id").alias("first"), F.count("*").alias("n")).withColumn("class", F.monotonically_increasing_id()), "classes")
     axes = spark.sparkContext.broadcast(principal(classes, directions))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = np.zeros((batch.num_rows, directions), np.int32)
+            cells = np.zeros((batch.num_rows, directions), np.int64)
             at_vector = batch.schema.get_field_index("vector")
             for at, x in _by_length(batch.column(at_vector)):
                 mean, vectors = axes.value[x.shape[1]]
@@ -125,7 +127,7 @@ def vector_dedup(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(cells.ravel()))], names=[*batch.schema.names, "cell"])
 
     shape = ["label", "size"]
-    gridded = classes.withColumn("size", F.size("vector")).mapInArrow(trimmed(place), f"class long, label string, vector array<double>, first {kind}, n long, size int, cell array<int>")
+    gridded = classes.select("class", "label", "vector", "first", "n", F.size("vector").alias("size")).mapInArrow(trimmed(place), f"class long, label string, vector array<double>, first {kind}, n long, size int, cell array<long>")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = gridded.repartitionByRange(parts, *shape, "cell", "class").sortWithinPartitions(*shape, "cell", "class")
 
@@ -142,11 +144,14 @@ def vector_dedup(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
                 out[i], held = number, held + 1
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "block"])
 
-    table = materialize(ordered.mapInArrow(trimmed(blocks), f"class long, label string, vector array<double>, first {kind}, n long, size int, cell array<int>, block long"), "grid")
+    table = materialize(ordered.mapInArrow(trimmed(blocks), f"class long, label string, vector array<double>, first {kind}, n long, size int, cell array<long>, block long"), "grid")
     sides = [F.min(F.col("cell")[i]).alias(f"lo{i}") for i in range(directions)] + [F.max(F.col("cell")[i]).alias(f"hi{i}") for i in range(directions)]
     boxes = materialize(table.groupBy(*shape, "block").agg(*sides), "boxes")
-    left = boxes.select(*shape, F.col("block").alias("x"), *[F.col(f"{s}{i}").alias(f"x{s}{i}") for s in ("lo", "hi") for i in range(directions)], F.explode(F.sequence("lo0", "hi0")).alias("c"))
-    right = boxes.select(*shape, F.col("block").alias("y"), *[F.col(f"{s}{i}").alias(f"y{s}{i}") for s in ("lo", "hi") for i in range(directions)], F.explode(F.sequence(F.col("lo0") - 1, F.col("hi0") + 1)).alias("c"))
+    low, high = boxes.agg(F.min("lo0"), F.max("hi0")).first()
+    width = max(1, ((high or 0) - (low or 0)) // 4096)  # a block meets others in at most about 4,096 steps, however small a cell is
+    step = lambda c: F.floor(c / width).cast("long")
+    left = boxes.select(*shape, F.col("block").alias("x"), *[F.col(f"{s}{i}").alias(f"x{s}{i}") for s in ("lo", "hi") for i in range(directions)], F.explode(F.sequence(step(F.col("lo0")), step(F.col("hi0")))).alias("c"))
+    right = boxes.select(*shape, F.col("block").alias("y"), *[F.col(f"{s}{i}").alias(f"y{s}{i}") for s in ("lo", "hi") for i in range(directions)], F.explode(F.sequence(step(F.col("lo0") - 1), step(F.col("hi0") + 1))).alias("c"))
     met = left.join(right, [*shape, "c"]).filter("x <= y" + "".join(f" and xlo{i} - yhi{i} <= 1 and ylo{i} - xhi{i} <= 1" for i in range(directions))).select("x", "y").distinct()
     sent = met.select("x", "y", F.explode(F.when(F.col("x") == F.col("y"), F.array("x")).otherwise(F.array("x", "y"))).alias("block"))
 
@@ -154,7 +159,7 @@ def vector_dedup(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
         group = group.combine_chunks().sort_by([("block", "ascending")])
         x_is, y_is = key[0].as_py(), key[1].as_py()
         block = group.column("block").to_numpy()
-        cells = np.array(group.column("cell").to_pylist(), np.int32).reshape(len(block), directions)
+        cells = np.array(group.column("cell").to_pylist(), np.int64).reshape(len(block), directions)
         column = group.column("vector").combine_chunks()
         unit = _units(_matrix(column))
         order = np.lexsort([*cells.T[::-1], block])
@@ -174,9 +179,12 @@ def vector_dedup(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     found = materialize(sent.join(table.select("block", "class", "vector", "n", "cell"), "block").repartition(tasks, "x", "y").groupBy("x", "y").applyInArrow(work, "a long, b long, links long"), "found")
     roots = components(found.select("a", "b"))
     links = found.groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
-    named = classes.select("class", "first", "n").join(links, "class", "left").join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "first", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "class").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    final = named.join(smallest, "root").select("class", "n_links", "component_id")
-    out = base.select("id", "class").join(final, "class", "left")
-    component = F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.cast("long").alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    named = classes.select("h1", "h2", "class", "first", "n").join(links, "class", "left").join(roots.withColumnRenamed("node", "class"), "class", "left").select("h1", "h2", "first", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "class").alias("root"))
+    smallest = named.groupBy("root").agg(F.min("first").alias("component"))
+    final = materialize(named.join(smallest, "root").select("h1", "h2", "n", F.struct("n_links", "component").alias("found")), "final")
+    total = final.agg(F.sum("n")).first()[0] or 0
+    marked = base.select("id", "h1", "h2").join(F.broadcast(final.filter(F.col("n") * HOT > total).select("h1", "h2", F.col("found").alias("hot"))), ["h1", "h2"], "left")
+    cold = marked.filter("hot is null").drop("hot").join(final.filter(F.col("n") * HOT <= total).select("h1", "h2", "found"), ["h1", "h2"], "left").select("id", "found")
+    out = marked.filter("hot is not null").select("id", F.col("hot").alias("found")).unionByName(cold)
+    component = F.when(F.col("found").isNull(), F.col("id")).otherwise(F.col("found.component"))
+    return out.select(F.col("id").alias("vec_id"), F.coalesce("found.n_links", F.lit(0)).cast("long").alias("n_links"), component.cast("long").alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

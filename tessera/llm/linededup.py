@@ -11,8 +11,8 @@ Line keys are hashed to 128 bits. A line counts with at least ``min_length`` cod
 the one with the largest id.
 
 Defined cases: a null or empty text is one empty line; ids are integers; a null id is one document, below all others; rows
-that repeat an id are one document and each is cleaned; extra columns are kept out of the way; an empty
-table gives an empty result.
+that repeat an id are one document and each is cleaned; very long texts are whole rows of the lines' table;
+extra columns are kept out of the way; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import scratch
+from tessera.session import drop_scratch, scratch
 
 KEYS = ("h1", "h2", "doc")
 NO_ID = -(1 << 63)
@@ -81,8 +81,6 @@ class LineRuns:
                 self._forget(name)
 
     def _forget(self, name: str) -> None:
-        from tessera.session import drop_scratch
-
         location = self.spark.sql(f"describe table extended {name}").filter("col_name = 'Location'").first()["data_type"]
         self.spark.sql(f"drop table {name}")
         drop_scratch(self.spark, location)
@@ -118,13 +116,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines.withColumn("batch", F.pmod(F.hash("row"), F.lit(n_batches))).write.partitionBy("batch").parquet(path)
     held = spark.read.schema("h1 long, h2 long, doc long, row long, pos int, batch int").parquet(path)
     runs = LineRuns(spark, fanout=fanout)
-    for b in range(n_batches):
-        runs.add(held.filter(F.col("batch") == b))
     stats_path = scratch(spark, "repeated")
-    _repeated(runs.table(), min_docs).write.parquet(stats_path)
+    try:
+        for b in range(n_batches):
+            runs.add(held.filter(F.col("batch") == b))
+        _repeated(runs.table(), min_docs).write.parquet(stats_path)
+        total = runs.table().count()
+    finally:
+        runs.close()  # no table of a run outlives its use, also if a job fails
     repeated = spark.read.schema("h1 long, h2 long, n_docs long, keeper long").parquet(stats_path)
-    total = runs.table().count()
-    runs.close()
     hot = repeated.filter(F.col("n_docs") * hot_parts > total).select("h1", "h2", F.col("keeper").alias("hot_keeper"))
     cold = repeated.filter(F.col("n_docs") * hot_parts <= total).select("h1", "h2", "keeper")
     marked = held.drop("batch").join(F.broadcast(hot), ["h1", "h2"], "left")
