@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,26 +29,52 @@ def build_session(master: str = "local[*]", app: str = "tessera", **conf: str) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one only if unset."""
+    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one only in local mode."""
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("tessera.shared.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share; a folder of one machine would lose rows")
     own = tempfile.mkdtemp(prefix="tessera-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.conf.set("tessera.shared.dir", "file://" + own)
     return "file://" + own
 
 
+_owned: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path for a table in the shared folder."""
-    return f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex[:12]}"
+    """A new path for a table in the shared folder; it goes with the innermost ``owned`` block, if there is one."""
+    path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex[:12]}"
+    if _owned:
+        _owned[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def owned(spark: SparkSession) -> Iterator[None]:
+    """Deletes the scratch tables made inside, at its end or on failure; write what is lazy before."""
+    _owned.append([])
+    try:
+        yield
+    finally:
+        for path in _owned.pop():
+            drop_scratch(spark, path)
+
 
+def materialize(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage and outlives lost executors.
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and outlives lost executors."""
+    The table of ``instead_of``, an earlier result that nothing reads any more, is deleted afterwards.
+    """
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    if instead_of is not None:
+        drop_scratch(spark, instead_of._scratch_path)
+    return out
 
 
 def drop_scratch(spark: SparkSession, path: str) -> None:
