@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm._bytes import SpanTable, lanes, row_blocks, span_hashes, text_column, trimmed
 from tessera.llm._chunkcache import ChunkCache, adapter, worker_cache
-from tessera.session import ship
+from tessera.session import materialize, ship
 
 _tier_one: dict[str, tuple[SpanTable, np.ndarray]] = {}
 
@@ -80,8 +80,16 @@ def frequent(docs: DataFrame, text_col: str, model_path: str, table_size: int, t
 
     texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("t"))
     texts = texts if table_docs is None else texts.limit(table_docs)
-    rows = texts.mapInArrow(trimmed(tally), "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(table_size).collect()
-    return [bytes(r["token"]) for r in rows]
+    counted = materialize(texts.mapInArrow(trimmed(tally), "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")), "tally")
+    # the counts above which at most table_size pre-tokens lie; only those come to the driver
+    step = F.floor(F.log2("n") * 16)
+    least, held = None, 0
+    for r in sorted(counted.groupBy(step.alias("step")).agg(F.count("*").alias("m")).collect(), key=lambda r: -r["step"]):
+        held += r["m"]
+        if held > table_size:
+            break
+        least = r["step"]
+    return [] if least is None else [bytes(r["token"]) for r in counted.filter(step >= least).select("token").collect()]
 
 
 def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, table_size: int = 65_536, table_docs: int | None = None) -> DataFrame:
