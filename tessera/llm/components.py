@@ -39,8 +39,8 @@ def components(links: DataFrame) -> DataFrame:
     now = materialize(links.select("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = _sign(now)
     while before[0]:
-        big = materialize(_star(now, True, 2 * before[0]), "links")
-        now = materialize(_star(big, False, before[0]), "links")
+        big = materialize(_star(now, True, 2 * before[0]), "links", now)
+        now = materialize(_star(big, False, before[0]), "links", big)
         after = _sign(now)
         if after == before:
             break
