@@ -17,18 +17,25 @@ from tessera.llm.linededup import line_dedup
 from tessera.llm.packing import pack
 from tessera.llm.simhash import simhash_dedup
 from tessera.llm.toxicity import toxicity_scores
-from tessera.session import materialize
+from tessera.session import drop_scratch, materialize, owned, scratch
 
 ORACLE_SQL = None
+MAX_BROADCAST = 1_000_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't predicted toxic; rows pass through the scoring, so their texts aren't shuffled."""
+    """Documents that aren't predicted toxic; rows pass through the scoring, so their texts aren't shuffled.
+
+    Null and empty texts have the bias's score and stay unless most texts are toxic; each repeated row is decided alike.
+    """
     return toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), whole=True).filter("predicted = 0").select("document.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the lines gone that many documents share; n_chars follows the text."""
+    """Documents with the lines gone that many documents share; n_chars follows the text.
+
+    No row goes; a null text stays null, as an empty line is never dropped.
+    """
     found = line_dedup(docs)
     changed = {"text": F.when(F.col("n_dropped") > 0, F.col("kept")).otherwise(F.col("document.text")), "n_chars": F.when(F.col("n_dropped") > 0, F.length("kept").cast("long")).otherwise(F.col("document.n_chars"))}
     return found.select(*[changed.get(c, F.col(f"document.`{c}`")).alias(c) for c in docs.columns])
@@ -37,20 +44,23 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id.
 
-    Rows that share an id are one document, they stay or go together; rows with a null id stay.
+    Null and empty texts are copies of each other. Rows that share an id are one document, they stay or go
+    together; rows with a null id stay. Ids that go are broadcast if there are at most ``MAX_BROADCAST``, so
+    that texts needn't be shuffled, and joined otherwise.
     """
     found = simhash_dedup(docs)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = materialize(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    few = gone.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window of words with an item."""
+    """Documents that share no window of words with an item; null and empty texts share none and stay."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), whole=True).filter("n_hit = 0").select("document.*")
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences."""
+    """Pieces of training sequences; a null or empty text is one closing id."""
     return pack(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 
@@ -65,7 +75,14 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = scratch(spark, name.replace(" ", "-"))
+        with owned(spark):  # what a stage wrote on its way goes when its rows are written
+            rows = stage(spark, docs, sf_dir)
+            rows.write.parquet(path)
+        docs = spark.read.schema(rows.schema).parquet(path)
+        if last:
+            drop_scratch(spark, last)
+        last = path
     return docs
