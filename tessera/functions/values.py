@@ -42,11 +42,6 @@ def fact_bytes(subject: Column, predicate: Column, value: Column, links: Column)
     return F.lit(192) + F.octet_length(subject) + F.octet_length(predicate) + F.octet_length(value) + 16 * links
 
 
-def claim_bytes(fields: Column, excerpts: Column) -> Column:
-    """Accounted size of a claim: its fields, and every excerpt with its frame."""
-    return F.lit(128) + fields + F.aggregate(excerpts, F.lit(0).cast("long"), lambda a, x: a + 64 + F.octet_length(x))
-
-
 def canonical_map(entries: Column) -> Column:
     """A map as JSON with keys in byte order."""
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(entries))))

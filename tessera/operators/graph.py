@@ -28,16 +28,17 @@ def adjacent(edges: DataFrame, nodes: DataFrame, direction: str = "out") -> Data
     return directed(edges, direction).join(nodes.select("node"), "node")
 
 
-def adjacent_authorized(edges: DataFrame, nodes: DataFrame, entities: DataFrame, denied: DataFrame, direction: str = "out") -> DataFrame:
-    """Adjacency over relationships and active neighbours that aren't denied, filtered before any limit."""
-    live = entities.filter("lifecycle = 'active'").select(F.col("id").alias("neighbour"))
+def adjacent_authorized(edges: DataFrame, nodes: DataFrame, entities: DataFrame, denied: DataFrame, direction: str = "out", max_results: int | None = None) -> DataFrame:
+    """Adjacency over relationships and active neighbours that aren't denied.
+
+    Denied relationships and the edges of other nodes go before neighbours are looked up. The limit counts only
+    what is allowed; beyond it a typed error is raised.
+    """
     hidden = denied.select("id").distinct()
-    return (
-        adjacent(edges, nodes, direction)
-        .join(live, "neighbour", "left_semi")
-        .join(hidden.withColumnRenamed("id", "rel_id"), "rel_id", "left_anti")
-        .join(hidden.withColumnRenamed("id", "neighbour"), "neighbour", "left_anti")
-    )
+    open_edges = edges.join(hidden.withColumnRenamed("id", "rel_id"), "rel_id", "left_anti")
+    seen = entities.filter("lifecycle = 'active'").select("id").join(hidden, "id", "left_anti")
+    found = adjacent(open_edges, nodes, direction).join(seen.withColumnRenamed("id", "neighbour"), "neighbour", "left_semi")
+    return found if max_results is None else limited(found, max_results)
 
 
 def limited(rows: DataFrame, limit: int) -> DataFrame:

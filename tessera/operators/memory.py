@@ -37,13 +37,49 @@ def fact_links(facts: DataFrame, eligible: DataFrame) -> DataFrame:
     return steps.join(eligible.select(F.col("id").alias("linked")), "linked", "left_semi").select("id", "position", "linked")
 
 
-def edges_from(edges: DataFrame, denied: DataFrame, kind: str | None = None) -> DataFrame:
-    """Research edges whose own id, target and asserting record are all readable, optionally of one kind."""
-    rows = edges if kind is None else edges.filter(F.col("kind") == kind)
+def edges_from(edges: DataFrame, denied: DataFrame, kind: str | None = None, revision: int | None = None, max_candidates: int | None = None, max_results: int | None = None) -> DataFrame:
+    """Research edges whose own id, target and asserting record are all readable, optionally of one kind.
+
+    As of ``revision``, if given (column recorded). With limits, which count by record that edges come from and
+    in the order of ids, there is a column ``truncated``: more candidates, or more readable edges, than allowed.
+    Candidates are counted before kinds and denies are looked at, so that a denied edge isn't told from none.
+    """
+    rows = edges if revision is None else edges.filter(F.col("recorded") <= revision)
+    by, whole = Window.partitionBy("from").orderBy("id"), Window.partitionBy("from")
+    more = F.lit(False)
+    if max_candidates is not None:
+        rows = rows.withColumn("_k", F.row_number().over(by)).filter(F.col("_k") <= max_candidates + 1)
+        rows = rows.withColumn("_more", F.max("_k").over(whole) > max_candidates).filter(F.col("_k") <= max_candidates)
+        more = F.col("_more")
+    rows = rows if kind is None else rows.filter(F.col("kind") == kind)
     hidden = denied.select("id").distinct()
     for c in ("id", "to", "asserted_by"):
         rows = rows.join(hidden.select(F.col("id").alias(c)), c, "left_anti")
-    return rows
+    if max_results is not None:
+        rows = rows.withColumn("_j", F.row_number().over(by)).filter(F.col("_j") <= max_results + 1)
+        rows = rows.withColumn("_over", F.max("_j").over(whole) > max_results).filter(F.col("_j") <= max_results)
+        more = more | F.col("_over")
+    return rows if max_candidates is None and max_results is None else rows.withColumn("truncated", more).drop("_k", "_more", "_j", "_over")
+
+
+VIEWS = {
+    "fact": ["id", "subject", "predicate", "value", "recorded"],
+    "claim": ["id", "subject", "predicate", "value", "recorded", "terminal_revision"],
+    "source": ["source", "version", "recorded", "superseded", "revoked"],
+    "citation": ["id", "source", "version", "start", "end"],
+}
+
+
+def project(rows: DataFrame, view: str, revision: int | None = None) -> DataFrame:
+    """The public columns of a kind of record, as of a revision: what ended later is still open."""
+    shown = rows if revision is None or "recorded" not in rows.columns else rows.filter(F.col("recorded") <= revision)
+    later = {"terminal_revision", "superseded", "revoked"} if revision is not None else set()
+    return shown.select(*[F.when(F.col(c) <= revision, F.col(c)).alias(c) if c in later else F.col(f"`{c}`") for c in VIEWS[view]])
+
+
+def byte_accounts(excerpts: DataFrame, key: str, fields: int = 0) -> DataFrame:
+    """Accounted bytes by record: its fields, and every excerpt with its frame; texts are neither collected nor shuffled."""
+    return excerpts.groupBy(key).agg((F.lit(128 + fields) + F.sum(64 + F.octet_length("excerpt"))).cast("long").alias("bytes"))
 
 
 def resolve_citations(citations: DataFrame, sources: DataFrame) -> DataFrame:

@@ -8,14 +8,26 @@ from pyspark.sql import functions as F
 from tessera.errors import StaleView
 
 
-def allowed(records: DataFrame, grants: DataFrame, denies: DataFrame, permission: str) -> DataFrame:
+MAX_BROADCAST = 100_000
+
+
+def allowed(records: DataFrame, grants: DataFrame, denies: DataFrame, permission: str, principals: list[str] | None = None) -> DataFrame:
     """(principal, record) pairs that may be used: scope and permission granted and the record not denied.
 
-    ``grants``: principal, namespace, permissions (array); ``denies``: principal, id. Grants are few and the
-    join with them is on the namespace; denies are an anti-join on (principal, id).
+    ``grants``: principal, namespace, permissions (array); ``denies``: principal, id; of the ``principals``, or
+    of all. Grants of at most ``MAX_BROADCAST`` rows are broadcast, so that records of one large namespace stay
+    where they are; of more, records are spread by their id as well. Denies are an anti-join on (principal, id).
     """
-    scoped = grants.filter(F.array_contains("permissions", permission)).select("principal", "namespace").distinct()
-    return records.join(scoped, "namespace").join(denies.select("principal", "id").distinct(), ["principal", "id"], "left_anti")
+    asked = (lambda df: df) if principals is None else (lambda df: df.filter(F.col("principal").isin(principals)))
+    scoped = asked(grants).filter(F.array_contains("permissions", permission)).select("principal", "namespace").distinct()
+    refused = asked(denies).select("principal", "id").distinct()
+    if scoped.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        pairs = records.join(F.broadcast(scoped), "namespace")
+    else:
+        salts = 16
+        spread = scoped.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        pairs = records.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(spread, ["namespace", "_salt"]).drop("_salt")
+    return pairs.join(refused, ["principal", "id"], "left_anti")
 
 
 def closure_visible(records: DataFrame, refs: DataFrame, readable: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.errors import ResourceLimit
 from tessera.functions.values import ascii_lower
+from tessera.session import materialize
 
 #: The reference's limit of candidates of one research query.
 MAX_CANDIDATES = 65_536
@@ -29,7 +30,7 @@ def search_facts(facts: DataFrame, terms: list[str], max_candidates: int | None
 
 
 def search_claims(claims: DataFrame, terms: list[str], revision: int, max_candidates: int | None = MAX_CANDIDATES) -> DataFrame:
-    """Active claims that hold all terms among the first candidates by id; ``truncated`` if those ran out.
+    """Active claims that hold all terms among the first candidates by id; ``truncated`` if there are more of those.
 
     None as the limit searches all active claims in one scan, without an order.
     """
@@ -37,15 +38,18 @@ def search_claims(claims: DataFrame, terms: list[str], revision: int, max_candid
     if max_candidates is None:
         return active.filter(contains_all(F.concat_ws(" ", "subject", "predicate", "value", "excerpts"), terms)).withColumn("truncated", F.lit(False))
     first = active.orderBy("id").limit(max_candidates)
-    more = F.lit(active.limit(max_candidates).count() == max_candidates)
+    more = F.lit(active.limit(max_candidates + 1).count() > max_candidates)
     return first.filter(contains_all(F.concat_ws(" ", "subject", "predicate", "value", "excerpts"), terms)).withColumn("truncated", more)
 
 
 def within_budget(rows: DataFrame, max_results: int, max_bytes: int, partition: list[str] | None = None, order: str = "id") -> DataFrame:
     """The longest prefix by ``order`` that stays within both budgets, per partition; ``truncated`` if cut.
 
-    Only the first max_results + 1 rows of a partition can matter; Spark prunes to them before the sums.
+    Only the first max_results + 1 rows of a partition can matter; Spark prunes to them before the sums, without
+    a partition by taking the first rows of every task.
     """
+    if not partition:
+        rows = rows.orderBy(order).limit(max_results + 1)
     by = Window.partitionBy(*(partition or [F.lit(0)])).orderBy(order)
     ranked = rows.withColumn("_rank", F.row_number().over(by)).filter(F.col("_rank") <= max_results + 1)
     summed = ranked.withColumn("_sum", F.sum("bytes").over(by.rowsBetween(Window.unboundedPreceding, 0)))
@@ -62,12 +66,16 @@ def time_filter(event_time: Column, mode: str, value: Column | None = None) -> C
 def bm25(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Score of each document with at least one term, with the share of each term.
 
-    Terms are lower-case letters and digits. Term frequencies come from one scan without a shuffle of text; corpus counts are one small aggregate.
+    Terms are lower-case letters and digits. Texts are read once: lengths and term frequencies are written, and
+    corpus counts are one small aggregate of them; texts aren't shuffled.
     """
-    text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    count = lambda term: F.regexp_count("t", F.lit(f"(?<![a-z0-9]){term}(?![a-z0-9])"))
-    rows = docs.select(F.col(id_col), text.alias("t")).select(id_col, F.regexp_count("t", F.lit("[a-z0-9]+")).alias("n"), *[count(t).alias(f"tf{i}") for i, t in enumerate(terms)])
-    stats = rows.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(terms))])
+    plain = F.btrim(F.lower(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "[^A-Za-z0-9]+", "  ")))
+    padded = F.concat(F.lit("  "), "u", F.lit("  "))
+    times = lambda t, part: (F.length(t) - F.length(F.replace(t, F.lit(part), F.lit("")))) / len(part)
+    size = F.when(F.col("u") == "", 0).otherwise(times(F.col("u"), "  ") + 1).cast("long")
+    words = docs.select(F.col(id_col), plain.alias("u"))
+    rows = materialize(words.select(id_col, size.alias("n"), *[times(padded, f" {term} ").cast("long").alias(f"tf{i}") for i, term in enumerate(terms)]), "frequencies")
+    stats = rows.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     hit = reduce(lambda a, c: a | c, [F.col(f"tf{i}") > 0 for i in range(len(terms))])
     part = lambda i: F.log(1 + (F.col("docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
     shares = [part(i).alias(f"share{i}") for i in range(len(terms))]

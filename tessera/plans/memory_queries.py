@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.values import ascii_lower, claim_bytes, fact_bytes, freshness
+from tessera.functions.values import ascii_lower, fact_bytes, freshness
 from tessera.operators import asof, ingest, memory, search
 from tessera.plans.record_queries import late, late_of
 from tessera.plans.registry import query
@@ -29,43 +29,26 @@ def _cites(m):
     return m["facts"].select("id", "source", "version", start.cast("int").alias("start"), (start + 20).cast("int").alias("end"))
 
 
-@query("fact_eligibility_at", ELIGIBLE)
+@query("fact_eligibility_at", ELIGIBLE_LATE)
 def fact_eligibility_at(spark, m):
-    return memory.eligible_facts(m["facts"], m["sources"], 700).select("id")
-
-
-@query("fact_eligibility_denied", ELIGIBLE + " AND f.doc_id % 17 <> 0 AND (f.doc_id - 1) % 17 <> 0 AND (f.doc_id + 3) % 17 <> 0")
-def fact_eligibility_denied(spark, m):
-    denied = spark.range(-17, 2_000_000, 17).select(F.concat(F.lit("q"), "id").alias("id"))
-    return memory.eligible_facts(_facts(m), m["sources"], 700, denied).select("id")
-
-
-@query("get_fact", ELIGIBLE.replace("SELECT f.id", "SELECT f.id, f.subject, f.value, 192 + CAST(strlen(f.subject) + 7 + strlen(f.value) AS BIGINT) + 32 AS bytes"))
-def get_fact(spark, m):
-    rows = memory.eligible_facts(_facts(m), m["sources"], 700)
-    return rows.select("id", "subject", "value", fact_bytes(F.col("subject"), F.col("predicate"), F.col("value"), F.size("links")).cast("long").alias("bytes"))
-
-
-@query("fact_eligibility_at_late", ELIGIBLE_LATE)
-def fact_eligibility_at_late(spark, m):
     return memory.eligible_facts(m["facts"], m["sources"], late_of(m["facts"], "recorded")).select("id")
 
 
-@query("fact_eligibility_denied_late", ELIGIBLE_LATE + " AND f.doc_id % 17 <> 0 AND (f.doc_id - 1) % 17 <> 0 AND (f.doc_id + 3) % 17 <> 0")
-def fact_eligibility_denied_late(spark, m):
+@query("fact_eligibility_denied", ELIGIBLE_LATE + " AND f.doc_id % 17 <> 0 AND (f.doc_id - 1) % 17 <> 0 AND (f.doc_id + 3) % 17 <> 0")
+def fact_eligibility_denied(spark, m):
     last_doc = asof.current_revision(m["facts"], "doc_id")
     denied = spark.range(-17, last_doc + 4, 17).select(F.concat(F.lit("q"), "id").alias("id"))
     return memory.eligible_facts(_facts(m), m["sources"], late_of(m["facts"], "recorded"), denied).select("id")
 
 
-@query("get_fact_late", ELIGIBLE_LATE.replace("SELECT f.id", "SELECT f.id, f.subject, f.value, 192 + CAST(strlen(f.subject) + 7 + strlen(f.value) AS BIGINT) + 32 AS bytes"))
-def get_fact_late(spark, m):
+@query("get_fact", ELIGIBLE_LATE.replace("SELECT f.id", "SELECT f.id, f.subject, f.value, 192 + CAST(strlen(f.subject) + 7 + strlen(f.value) AS BIGINT) + 32 AS bytes"))
+def get_fact(spark, m):
     rows = memory.eligible_facts(_facts(m), m["sources"], late_of(m["facts"], "recorded"))
     return rows.select("id", "subject", "value", fact_bytes(F.col("subject"), F.col("predicate"), F.col("value"), F.size("links")).cast("long").alias("bytes"))
 
 
-@query("one_hop_links_late", f"WITH e AS ({ELIGIBLE_LATE}) SELECT id, position, linked FROM (SELECT id, CAST(p AS BIGINT) AS position, 'q' || CAST(CASE p WHEN 0 THEN doc_id - 1 ELSE doc_id + 3 END AS STRING) AS linked FROM {{facts}}, range(0, 2) t(p)) l WHERE linked IN (SELECT id FROM e)")
-def one_hop_links_late(spark, m):
+@query("one_hop_links", f"WITH e AS ({ELIGIBLE_LATE}) SELECT id, position, linked FROM (SELECT id, CAST(p AS BIGINT) AS position, 'q' || CAST(CASE p WHEN 0 THEN doc_id - 1 ELSE doc_id + 3 END AS STRING) AS linked FROM {{facts}}, range(0, 2) t(p)) l WHERE linked IN (SELECT id FROM e)")
+def one_hop_links(spark, m):
     return memory.fact_links(_facts(m), memory.eligible_facts(m["facts"], m["sources"], late_of(m["facts"], "recorded"))).select("id", F.col("position").cast("long").alias("position"), "linked")
 
 
@@ -79,11 +62,6 @@ def source_version_confirm(spark, m):
     return m["sources"].filter("source = 'src5' and version = 2").select("source", "version", "recorded")
 
 
-@query("one_hop_links", f"WITH e AS ({ELIGIBLE}) SELECT id, position, linked FROM (SELECT id, CAST(p AS BIGINT) AS position, 'q' || CAST(CASE p WHEN 0 THEN doc_id - 1 ELSE doc_id + 3 END AS STRING) AS linked FROM {{facts}}, range(0, 2) t(p)) l WHERE linked IN (SELECT id FROM e)")
-def one_hop_links(spark, m):
-    return memory.fact_links(_facts(m), memory.eligible_facts(m["facts"], m["sources"], 700)).select("id", F.col("position").cast("long").alias("position"), "linked")
-
-
 @query("research_edges_from", "SELECT 'e' || CAST(event_id AS STRING) AS id, 'r' || CAST(user_id AS STRING) AS \"from\", 'r' || CAST((user_id * 3 + event_id) % 500 AS STRING) AS \"to\" FROM {events} WHERE event_type = 'click' AND (user_id * 3 + event_id) % 500 % 17 <> 0 AND event_id % 23 <> 0")
 def research_edges_from(spark, m):
     edges = m["events"].select(F.concat(F.lit("e"), "event_id").alias("id"), F.col("event_type").alias("kind"), F.concat(F.lit("r"), "user_id").alias("from"), F.concat(F.lit("r"), (F.col("user_id") * 3 + F.col("event_id")) % 500).alias("to"), F.lit("a0").alias("asserted_by"))
@@ -91,25 +69,29 @@ def research_edges_from(spark, m):
     return memory.edges_from(edges, denied, "click").select("id", "from", "to")
 
 
-@query("citation_excerpt", """SELECT id, outcome, CASE WHEN outcome = 'resolved' THEN excerpt END AS excerpt, CASE WHEN outcome = 'resolved' THEN sha256(excerpt) END AS excerpt_sha256, CASE WHEN outcome = 'resolved' THEN CAST(20 + 160 AS BIGINT) END AS bytes FROM (
-    SELECT f.id, CASE WHEN s.revoked IS NOT NULL THEN 'withheld' WHEN octet_length(encode(s.text)) < 30 + f.doc_id % 50 THEN 'out_of_range' ELSE 'resolved' END AS outcome, substr(s.text, 11 + CAST(f.doc_id % 50 AS BIGINT), 20) AS excerpt
-    FROM {facts} f JOIN {sources} s ON s.source = f.source AND s.version = f.version WHERE regexp_full_match(left(s.text, 100), '[ -~\\n]*')) c""")
-def citation_excerpt(spark, m):
-    ascii_only = m["sources"].filter(F.substring("text", 1, 100).rlike(r"^[ -~\n]*\z"))
-    return memory.resolve_citations(_cites(m), ascii_only).select("id", "outcome", "excerpt", "excerpt_sha256", "bytes")
+@query("research_edges_limited", f"""WITH e AS (SELECT 'e' || CAST(event_id AS STRING) AS id, 'r' || CAST(user_id AS STRING) AS "from", (user_id * 3 + event_id) % 500 AS t, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY 'e' || CAST(event_id AS STRING)) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM {{events}} WHERE event_id <= (SELECT max(event_id) * 9 // 10 FROM {{events}})),
+    g AS (SELECT *, row_number() OVER (PARTITION BY "from" ORDER BY id) AS j, count(*) OVER (PARTITION BY "from") AS m FROM e WHERE k <= 40 AND event_type = 'click' AND t % 17 <> 0 AND event_id % 23 <> 0)
+    SELECT id, "from", 'r' || CAST(t AS STRING) AS "to", n > 40 OR m > 5 AS truncated FROM g WHERE j <= 5""")
+def research_edges_limited(spark, m):
+    e = m["events"]
+    edges = e.select(F.concat(F.lit("e"), "event_id").alias("id"), F.col("event_type").alias("kind"), F.concat(F.lit("r"), "user_id").alias("from"), F.concat(F.lit("r"), (F.col("user_id") * 3 + F.col("event_id")) % 500).alias("to"), F.lit("a0").alias("asserted_by"), F.col("event_id").alias("recorded"))
+    denied = spark.range(0, 500, 17).select(F.concat(F.lit("r"), "id").alias("id")).unionByName(e.filter("event_id % 23 = 0").select(F.concat(F.lit("e"), "event_id").alias("id")))
+    return memory.edges_from(edges, denied, "click", late_of(e, "event_id"), 40, 5).select("id", "from", "to", "truncated")
 
 
-@query("citation_excerpt_all", """SELECT id, outcome, CASE WHEN outcome = 'resolved' THEN decode(unhex(excerpt)) END AS excerpt, CASE WHEN outcome = 'resolved' THEN sha256(unhex(excerpt)) END AS excerpt_sha256, CASE WHEN outcome = 'resolved' THEN CAST(20 + 160 AS BIGINT) END AS bytes FROM (
+@query("citation_excerpt", """SELECT id, outcome, CASE WHEN outcome = 'resolved' THEN decode(unhex(excerpt)) END AS excerpt, CASE WHEN outcome = 'resolved' THEN sha256(unhex(excerpt)) END AS excerpt_sha256, CASE WHEN outcome = 'resolved' THEN CAST(20 + 160 AS BIGINT) END AS bytes FROM (
     SELECT id, CASE WHEN revoked IS NOT NULL THEN 'withheld' WHEN length(h) < 2 * (start + 20) THEN 'out_of_range' WHEN substr(h, 2 * start + 1, 1) IN ('8', '9', 'A', 'B') OR substr(h, 2 * start + 41, 1) IN ('8', '9', 'A', 'B') THEN 'not_a_boundary' ELSE 'resolved' END AS outcome, substr(h, 2 * start + 1, 40) AS excerpt
     FROM (SELECT f.id, s.revoked, hex(encode(s.text)) AS h, 10 + CAST(f.doc_id % 50 AS BIGINT) AS start FROM {facts} f JOIN {sources} s ON s.source = f.source AND s.version = f.version) b) c""")
-def citation_excerpt_all(spark, m):
+def citation_excerpt(spark, m):
     return memory.resolve_citations(_cites(m), m["sources"]).select("id", "outcome", "excerpt", "excerpt_sha256", "bytes")
 
 
-@query("citation_multibyte", None)
+@query("citation_multibyte", """SELECT id, outcome, CASE WHEN outcome = 'resolved' THEN CAST(length(decode(unhex(substr(h, 1, 80)))) AS BIGINT) END AS chars, CASE WHEN outcome = 'resolved' THEN CAST(40 + 160 AS BIGINT) END AS bytes FROM (
+    SELECT f.id, hex(encode(s.text)) AS h, CASE WHEN s.revoked IS NOT NULL THEN 'withheld' WHEN octet_length(encode(s.text)) < 40 THEN 'out_of_range' WHEN substr(hex(encode(s.text)), 81, 1) IN ('8', '9', 'A', 'B') THEN 'not_a_boundary' ELSE 'resolved' END AS outcome
+    FROM {facts} f JOIN {sources} s ON s.source = f.source AND s.version = f.version) b""")
 def citation_multibyte(spark, m):
     cites = m["facts"].select("id", "source", "version", F.lit(0).alias("start"), F.lit(40).alias("end"))
-    return memory.resolve_citations(cites, m["sources"]).select("id", "outcome", F.length("excerpt").alias("chars"), "bytes")
+    return memory.resolve_citations(cites, m["sources"]).select("id", "outcome", F.length("excerpt").cast("long").alias("chars"), "bytes")
 
 
 @query("claim_effective_support", """WITH c AS (SELECT f.id, f.value AS support, s.revoked FROM {facts} f LEFT JOIN {sources} s ON s.source = f.source AND (s.version = f.version OR s.version = f.version + 1) AND s.source NOT IN ('src0', 'src17'))
@@ -152,13 +134,8 @@ def lexical_search_and(spark, m):
     return search.search_facts(facts, ["THE", "ing"], max_candidates=10_000_000).select("id")
 
 
-@query("claim_search", f"SELECT id, n = 100 AS truncated FROM (SELECT id, text, count(*) OVER () AS n FROM (SELECT f.id, d.text FROM {{facts}} f JOIN {{documents}} d ON d.doc_id = f.doc_id WHERE terminal_revision IS NULL OR terminal_revision > 300 ORDER BY f.id LIMIT 100)) c WHERE contains({FOLD.format('text')}, 'the')")
+@query("claim_search", f"SELECT f.id, false AS truncated FROM {{facts}} f JOIN {{documents}} d ON d.doc_id = f.doc_id WHERE (f.terminal_revision IS NULL OR f.terminal_revision > 300) AND contains({FOLD.format('d.text')}, 'the')")
 def claim_search(spark, m):
-    return search.search_claims(_claims(m), ["the"], 300, 100).select("id", "truncated")
-
-
-@query("claim_search_all", f"SELECT f.id, false AS truncated FROM {{facts}} f JOIN {{documents}} d ON d.doc_id = f.doc_id WHERE (f.terminal_revision IS NULL OR f.terminal_revision > 300) AND contains({FOLD.format('d.text')}, 'the')")
-def claim_search_all(spark, m):
     return search.search_claims(_claims(m), ["the"], 300, None).select("id", "truncated")
 
 
@@ -179,7 +156,7 @@ def event_time_filters(spark, m):
 
 @query("claim_byte_accounting", "SELECT conv_id, CAST(128 + sum(64 + octet_length(encode(text))) AS BIGINT) AS bytes FROM {conversations} GROUP BY conv_id")
 def claim_byte_accounting(spark, m):
-    return m["conversations"].groupBy("conv_id").agg(F.collect_list("text").alias("x")).select("conv_id", claim_bytes(F.lit(0), F.col("x")).alias("bytes"))
+    return memory.byte_accounts(m["conversations"].select("conv_id", F.col("text").alias("excerpt")), "conv_id")
 
 
 @query("edge_kind_filter", "SELECT event_type AS kind, count(*) AS n FROM {events} WHERE event_type = 'view' GROUP BY event_type")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.contract import WriteContract
 from tessera.errors import EngineError, HistoryUnavailable, ResultLimit, UnknownReadView
 from tessera.operators import asof, graph, ingest, memory, policy, space, writes
-from tessera.plans.record_queries import last
+from tessera.plans.record_queries import last, late, late_of
 from tessera.plans.registry import query
 from tessera.session import scratch
 from tessera.sources import tables
@@ -83,15 +83,10 @@ def spatial_as_of(spark, m):
     return space.catalog_at(rows, 700, wanted)
 
 
-@query("observation_at", "SELECT id, entity, x, y FROM {observations} WHERE id % 10 = 0 AND revision <= 800")
+@query("observation_at", "SELECT id, entity, x, y FROM {observations} WHERE revision <= (SELECT max(revision) * 9 // 10 FROM {observations})")
 def observation_at(spark, m):
-    return m["observations"].filter("revision <= 800").filter("id % 10 = 0").select("id", "entity", "x", "y")
-
-
-@query("observation_at_all", "SELECT id, entity, x, y FROM {observations} WHERE revision <= (SELECT max(revision) * 9 // 10 FROM {observations})")
-def observation_at_all(spark, m):
     at = asof.current_revision(m["observations"]) * 9 // 10
-    return m["observations"].filter(F.col("revision") <= at).select("id", "entity", "x", "y")
+    return space.observations_at(m["observations"], at).select("id", "entity", "x", "y")
 
 
 @query("version_visit", """SELECT 'facts' AS family, id, CAST(1 AS BIGINT) AS version, recorded FROM {facts} UNION ALL SELECT 'sources', source, version, recorded FROM {sources} UNION ALL SELECT 'users', id, version, revision FROM {user_versions}""")
@@ -142,9 +137,19 @@ def create_records(spark, m):
     return m["orders"].select(F.concat(F.lit("order:"), "o_orderkey").alias("id"), F.lit(1).cast("long").alias("version"), F.when(claim, writes.STATUSES[0]).otherwise("active").alias("state"))
 
 
-@query("fact_projection", f"SELECT id, subject, predicate, value, recorded FROM {{facts}} WHERE recorded <= 900")
+@query("fact_projection", f"SELECT id, subject, predicate, value, recorded FROM {{facts}} WHERE recorded <= {late('facts', 'recorded')}")
 def fact_projection(spark, m):
-    return m["facts"].filter("recorded <= 900").select("id", "subject", "predicate", "value", "recorded")
+    return memory.project(m["facts"], "fact", late_of(m["facts"], "recorded"))
+
+
+@query("claim_projection", f"SELECT id, subject, predicate, value, recorded, CASE WHEN terminal_revision <= {late('facts', 'recorded')} THEN terminal_revision END AS terminal_revision FROM {{facts}} WHERE recorded <= {late('facts', 'recorded')}")
+def claim_projection(spark, m):
+    return memory.project(m["facts"], "claim", late_of(m["facts"], "recorded"))
+
+
+@query("source_projection", f"SELECT source, version, recorded, CASE WHEN superseded <= {late('sources', 'recorded')} THEN superseded END AS superseded, CASE WHEN revoked <= {late('sources', 'recorded')} THEN revoked END AS revoked FROM {{sources}} WHERE recorded <= {late('sources', 'recorded')}")
+def source_projection(spark, m):
+    return memory.project(m["sources"], "source", late_of(m["sources"], "recorded"))
 
 
 @query("fan_out_statistics", "SELECT max(n) AS widest, count(*) AS ends, CAST(sum(n) AS BIGINT) AS links FROM (SELECT src, count(*) AS n FROM {contains} GROUP BY src)")
@@ -218,6 +223,11 @@ def stream_distinct(spark, m):
     return spark.read.parquet(out)
 
 
-@query("snapshot_equals_last", f"SELECT count(*) AS n FROM {last('entity_versions', '500')} r")
+@query("snapshot_equals_last", f"SELECT count(*) AS n, CAST(0 AS BIGINT) AS differing FROM {last('entity_versions', late('entity_versions'))} r")
 def snapshot_equals_last(spark, m):
-    return asof.latest_at(m["entity_versions"], 500).agg(F.count("*").alias("n"))
+    """The state by aggregation against the state by replay of histories."""
+    at = late_of(m["entity_versions"])
+    one = asof.latest_at(m["entity_versions"], at).select("id", "version", "revision")
+    two = asof.history(m["entity_versions"]).filter((F.col("revision") <= at) & (F.col("until").isNull() | (F.col("until") > at))).select("id", "version", "revision")
+    both = one.withColumn("side", F.lit(1)).unionByName(two.withColumn("side", F.lit(-1))).groupBy("id", "version", "revision")
+    return both.agg(F.sum("side").alias("d"), F.count_if(F.col("side") == 1).alias("n")).agg(F.sum("n").alias("n"), F.sum(F.abs("d")).cast("long").alias("differing"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions.values import byte_slice, canonical_map, is_identity, line_at, sha256_hex, status_at
 from tessera.operators import asof, policy, replay
 from tessera.plans.registry import query
-from tessera.session import scratch
+from tessera.session import materialize, scratch
 from tessera.sources import tables
 
 LAST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY revision DESC) AS k FROM {view} WHERE revision <= {at}) t WHERE k = 1"
@@ -31,19 +31,14 @@ def record_at_current(spark, m):
     return asof.latest_at(m["user_versions"]).select("id", "version", "revision", "lifecycle", "payload")
 
 
-@query("record_at_revision", f"SELECT id, version, revision, lifecycle, payload FROM {last('user_versions', '500')} r")
+@query("record_at_revision", f"SELECT id, version, revision, lifecycle, payload FROM {last('user_versions', late('user_versions'))} r")
 def record_at_revision(spark, m):
-    return asof.latest_at(m["user_versions"], 500).select("id", "version", "revision", "lifecycle", "payload")
-
-
-@query("record_at_revision_late", f"SELECT id, version, revision, lifecycle, payload FROM {last('user_versions', late('user_versions'))} r")
-def record_at_revision_late(spark, m):
     return asof.latest_at(m["user_versions"], late_of(m["user_versions"])).select("id", "version", "revision", "lifecycle", "payload")
 
 
-@query("record_point_get", f"SELECT id, version, revision FROM {last('user_versions', '400')} r WHERE id = 'user:7'")
+@query("record_point_get", f"SELECT id, version, revision FROM {last('user_versions', late('user_versions'))} r WHERE id = 'user:7'")
 def record_point_get(spark, m):
-    return asof.record_at(m["user_versions"], "user:7", 400).select("id", "version", "revision")
+    return asof.record_at(m["user_versions"], "user:7", late_of(m["user_versions"])).select("id", "version", "revision")
 
 
 @query("full_record_scan", "SELECT id, count(*) AS versions FROM {entity_versions} GROUP BY id")
@@ -56,13 +51,8 @@ def history_of_record(spark, m):
     return asof.history(m["user_versions"]).select("id", "version", "revision", "until")
 
 
-@query("snapshot_counts_by_kind", f"SELECT split_part(id, ':', 1) AS type, lifecycle, count(*) AS n FROM {last('entity_versions', '800')} r GROUP BY ALL")
+@query("snapshot_counts_by_kind", f"SELECT split_part(id, ':', 1) AS type, lifecycle, count(*) AS n FROM {last('entity_versions', late('entity_versions'))} r GROUP BY ALL")
 def snapshot_counts_by_kind(spark, m):
-    return asof.latest_at(m["entity_versions"], 800).groupBy(F.split_part("id", F.lit(":"), F.lit(1)).alias("type"), "lifecycle").agg(F.count("*").alias("n"))
-
-
-@query("snapshot_counts_by_kind_late", f"SELECT split_part(id, ':', 1) AS type, lifecycle, count(*) AS n FROM {last('entity_versions', late('entity_versions'))} r GROUP BY ALL")
-def snapshot_counts_by_kind_late(spark, m):
     return asof.latest_at(m["entity_versions"], late_of(m["entity_versions"])).groupBy(F.split_part("id", F.lit(":"), F.lit(1)).alias("type"), "lifecycle").agg(F.count("*").alias("n"))
 
 
@@ -93,16 +83,8 @@ def sorted_run_range(spark, m):
     return spark.read.parquet(path).filter("id >= 'user:2' and id < 'user:3'").select("id", "version", "revision")
 
 
-@query("journal_range_scan", "SELECT event_id + 1 AS id, floor(event_id / 200) + 1 AS revision FROM {events} WHERE event_id < 800 AND floor(event_id / 200) + 1 BETWEEN 2 AND 3".replace("floor(event_id / 200) + 1", "CAST(floor(event_id / 200) AS BIGINT) + 1"))
+@query("journal_range_scan", "SELECT id, revision FROM (SELECT event_id + 1 AS id, CAST(event_id // ((SELECT max(event_id) FROM {events}) // 16 + 1) AS BIGINT) + 1 AS revision FROM {events}) l WHERE revision BETWEEN 2 AND 15")
 def journal_range_scan(spark, m):
-    log = tables.RevisionLog(spark, scratch(spark, "log"), "id long")
-    for r in range(1, 5):
-        log.append(m["events"].filter(F.col("event_id").between((r - 1) * 200, r * 200 - 1)).select((F.col("event_id") + 1).alias("id")), r)
-    return log.read(2, 3, newest_first=True)
-
-
-@query("journal_range_scan_all", "SELECT id, revision FROM (SELECT event_id + 1 AS id, CAST(event_id // ((SELECT max(event_id) FROM {events}) // 16 + 1) AS BIGINT) + 1 AS revision FROM {events}) l WHERE revision BETWEEN 2 AND 15")
-def journal_range_scan_all(spark, m):
     """All events in a log of 16 revisions; all but the first and the last are read."""
     log = tables.RevisionLog(spark, scratch(spark, "log"), "id long")
     size = asof.current_revision(m["events"], "event_id") // 16 + 1
@@ -111,15 +93,8 @@ def journal_range_scan_all(spark, m):
     return log.read(2, 15, newest_first=True)
 
 
-@query("snapshot_checkpoint", f"SELECT id, version FROM {last('user_versions', '300')} r")
+@query("snapshot_checkpoint", f"SELECT id, version FROM {last('user_versions', late('user_versions'))} r")
 def snapshot_checkpoint(spark, m):
-    path = scratch(spark, "snapshot")
-    digest = tables.write_snapshot(asof.latest_at(m["user_versions"], 300), path, 300)
-    return tables.load_snapshot(spark, path, 300, digest).select("id", "version")
-
-
-@query("snapshot_checkpoint_late", f"SELECT id, version FROM {last('user_versions', late('user_versions'))} r")
-def snapshot_checkpoint_late(spark, m):
     path, at = scratch(spark, "snapshot"), late_of(m["user_versions"])
     digest = tables.write_snapshot(asof.latest_at(m["user_versions"], at), path, at)
     return tables.load_snapshot(spark, path, at, digest).select("id", "version")
@@ -180,7 +155,7 @@ def precondition_outcomes(spark, m):
 
 @query("policy_visible_records", f"SELECT 'p' || CAST(p AS STRING) AS principal, count(*) AS n FROM {last('entity_versions')} r, range(0, 3) t(p) WHERE NOT (CAST(split_part(id, ':', 2) AS BIGINT) % 17 = p) GROUP BY ALL")
 def policy_visible_records(spark, m):
-    now = asof.latest_at(m["entity_versions"]).withColumn("namespace", F.lit("main"))
+    now = materialize(asof.latest_at(m["entity_versions"]).select("id", F.lit("main").alias("namespace")), "now")
     grants = spark.createDataFrame([(f"p{i}", "main", ["read", "expand"]) for i in range(3)] + [("p9", "main", ["commit"]), ("p8", "other", ["read"])], "principal string, namespace string, permissions array<string>")
     denies = now.select((F.split_part("id", F.lit(":"), F.lit(2)).cast("long") % 17).alias("k"), "id").filter("k < 3").select(F.concat(F.lit("p"), "k").alias("principal"), "id")
     return policy.allowed(now, grants, denies, "read").groupBy("principal").agg(F.count("*").alias("n"))
@@ -235,15 +210,8 @@ def branch_overlay(spark, m):
     return replay.branch_view(base, base.filter(k < 2).select("id", F.lit("branch").alias("payload"), (k == 0).alias("deleted")))
 
 
-@query("promotion_conflicts", f"SELECT n.id FROM {last('user_versions')} n LEFT JOIN {last('user_versions', '700')} t ON t.id = n.id WHERE n.version IS DISTINCT FROM t.version AND CAST(split_part(n.id, ':', 2) AS BIGINT) % 5 < 2")
+@query("promotion_conflicts", f"SELECT n.id FROM {last('user_versions')} n LEFT JOIN {last('user_versions', late('user_versions'))} t ON t.id = n.id WHERE n.version IS DISTINCT FROM t.version AND CAST(split_part(n.id, ':', 2) AS BIGINT) % 5 < 2")
 def promotion_conflicts(spark, m):
-    now = asof.latest_at(m["user_versions"])
-    overlay = now.filter(F.split_part("id", F.lit(":"), F.lit(2)).cast("long") % 5 < 2)
-    return replay.promotion_conflicts(asof.latest_at(m["user_versions"], 700), now, overlay).select("id")
-
-
-@query("promotion_conflicts_late", f"SELECT n.id FROM {last('user_versions')} n LEFT JOIN {last('user_versions', late('user_versions'))} t ON t.id = n.id WHERE n.version IS DISTINCT FROM t.version AND CAST(split_part(n.id, ':', 2) AS BIGINT) % 5 < 2")
-def promotion_conflicts_late(spark, m):
     now = asof.latest_at(m["user_versions"])
     overlay = now.filter(F.split_part("id", F.lit(":"), F.lit(2)).cast("long") % 5 < 2)
     return replay.promotion_conflicts(asof.latest_at(m["user_versions"], late_of(m["user_versions"])), now, overlay).select("id")
@@ -264,15 +232,9 @@ def text_digests(spark, m):
     return m["documents"].select("doc_id", sha256_hex(F.col("text")).alias("digest"), F.octet_length("text").cast("long").alias("bytes"))
 
 
-@query("line_locator", "SELECT conv_id, turn, CAST(1 + length(left(t, 60)) - length(replace(left(t, 60), chr(10), '')) AS BIGINT) AS line FROM (SELECT conv_id, turn, replace(regexp_replace(text, '[^ -~]', '', 'g'), ' ', chr(10)) AS t FROM {conversations}) c WHERE length(t) >= 60")
-def line_locator(spark, m):
-    t = F.regexp_replace(F.regexp_replace("text", "[^ -~]", ""), " ", "\n")
-    return m["conversations"].select("conv_id", "turn", t.alias("t")).filter(F.length("t") >= 60).select("conv_id", "turn", line_at(F.col("t"), F.lit(60)).cast("long").alias("line"))
-
-
-@query("line_locator_all", """SELECT conv_id, turn, outcome, CASE WHEN outcome = 'resolved' THEN 1 + len(list_filter(range(0, 60), lambda i: substr(h, 2 * i + 1, 2) = '0A')) END AS line FROM (
+@query("line_locator", """SELECT conv_id, turn, outcome, CASE WHEN outcome = 'resolved' THEN 1 + len(list_filter(range(0, 60), lambda i: substr(h, 2 * i + 1, 2) = '0A')) END AS line FROM (
     SELECT conv_id, turn, h, CASE WHEN length(h) < 120 THEN 'out_of_range' WHEN substr(h, 121, 1) IN ('8', '9', 'A', 'B') THEN 'not_a_boundary' ELSE 'resolved' END AS outcome FROM (SELECT conv_id, turn, hex(encode(replace(text, ' ', chr(10)))) AS h FROM {conversations}) b) c""")
-def line_locator_all(spark, m):
+def line_locator(spark, m):
     """The line of byte 60 of every turn; as in the reference, an offset beyond the text or inside a character has none."""
     t = F.translate("text", " ", "\n")
     before = byte_slice(t, F.lit(0), F.lit(60))

@@ -268,7 +268,7 @@ def test_citations_of_all_sources_get_a_row(spark):
     from tessera.plans.project import Model
 
     m = Model(spark, "/root/testdata/sf0.001")
-    assert registry.queries()["citation_excerpt_all"](spark, m.dir).count() == m["facts"].join(m["documents"], "doc_id").count()
+    assert registry.queries()["citation_excerpt"](spark, m.dir).count() == m["facts"].join(m["documents"], "doc_id").count()
 
 
 def test_reachability_walks_to_closure(spark):
@@ -277,7 +277,7 @@ def test_reachability_walks_to_closure(spark):
     assert {r.node: r.depth for r in got.collect()} == {f"n{i}": i for i in range(1, 10)}
 
 
-@pytest.mark.parametrize("name,table,keys", [("import_batch_outcomes_all", "events", 0), ("journal_range_scan_all", "events", 0.85), ("observation_at_all", "observations", 0.85), ("impact_reachability_all", "customer", 0), ("line_locator_all", "conversations", 0)])
+@pytest.mark.parametrize("name,table,keys", [("import_batch_outcomes", "events", 0), ("journal_range_scan", "events", 0.85), ("observation_at", "observations", 0.85), ("impact_reachability", "customer", 0), ("line_locator", "conversations", 0)])
 def test_queries_cover_their_table(spark, name, table, keys):
     from tessera.plans import registry
     from tessera.plans.project import Model
@@ -302,7 +302,7 @@ def test_lines_of_short_and_multibyte_turns(spark, tmp_path):
         except UnicodeDecodeError:
             return "not_a_boundary", None
 
-    assert {r.turn: (r.outcome, r.line) for r in registry.queries()["line_locator_all"](spark, str(tmp_path)).collect()} == {i: brute(t) for i, t in enumerate(texts)}
+    assert {r.turn: (r.outcome, r.line) for r in registry.queries()["line_locator"](spark, str(tmp_path)).collect()} == {i: brute(t) for i, t in enumerate(texts)}
 
 
 def test_correction_chains_of_any_depth_and_cycles(spark):
@@ -329,7 +329,56 @@ def test_late_reads_meet_most_of_the_history(spark):
 
     m = Model(spark, "/root/testdata/sf0.01")
     top = asof.current_revision(m["user_versions"])
-    seen = registry.queries()["record_at_revision_late"](spark, m.dir).agg(F.max("revision")).first()[0]
+    seen = registry.queries()["record_at_revision"](spark, m.dir).agg(F.max("revision")).first()[0]
     assert 0.85 * top < seen <= 0.9 * top
-    newest = registry.queries()["fact_eligibility_at_late"](spark, m.dir).agg(F.max(F.substring("id", 2, 20).cast("long"))).first()[0]
+    newest = registry.queries()["fact_eligibility_at"](spark, m.dir).agg(F.max(F.substring("id", 2, 20).cast("long"))).first()[0]
     assert newest > 0.8 * asof.current_revision(m["facts"], "recorded")
+
+
+def test_contacts_of_any_size_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(1, 0.0, 1.0, 1.0, 100.0), (2, 40.0, -1.0, 2.0, 100.0)] + [(i, float(rng.randint(0, 4_000)), float(rng.randint(-5, 5)), 1.0 + i % 3, float(rng.choice([1, 2, 3, 12, 64, 100, 900]))) for i in range(3, 120)]
+    bodies = spark.createDataFrame(rows, "id long, p double, v double, mass double, size double")
+    want = {}
+    for a in rows:
+        for b in rows:
+            if a[0] < b[0] and abs(a[1] - b[1]) * 2 <= a[4] + b[4] and (b[1] - a[1]) * (b[2] - a[2]) < 0:
+                total, push = a[3] * a[2] + b[3] * b[2], 0.5 * (b[2] - a[2])
+                want[a[0], b[0]] = ((total + b[3] * push) / (a[3] + b[3]), (total - a[3] * push) / (a[3] + b[3]))
+    got = {(r.a_id, r.b_id): (r.a_v_after, r.b_v_after) for r in space.contacts(bodies, restitution=0.5).collect()}
+    assert got.keys() == want.keys() and (1, 2) in got and all(abs(x - y) < 1e-9 for k in want for x, y in zip(got[k], want[k]))
+    with pytest.raises(errors.ResourceLimit):
+        space.contacts(bodies, max_pairs=len(want) - 1)
+    assert space.contacts(bodies, max_pairs=len(want)).count() == len(want)
+
+
+def test_search_is_truncated_only_by_another_candidate(spark):
+    claims = spark.createDataFrame([(f"c{i}", "s", "p", "the", "x", None) for i in range(5)], "id string, subject string, predicate string, value string, excerpts string, status_revision long")
+    assert [search.search_claims(claims, ["the"], 1, n).filter("truncated").count() for n in (4, 5, 6)] == [4, 0, 0]
+
+
+def test_budget_without_a_partition(spark):
+    rows = spark.range(100).select("id", F.lit(10).alias("bytes")).repartition(7)
+    kept = search.within_budget(rows, 8, 55).collect()
+    assert sorted(r.id for r in kept) == [0, 1, 2, 3, 4] and all(r.truncated for r in kept)
+    assert not any(r.truncated for r in search.within_budget(rows.filter("id < 3"), 8, 55).collect())
+
+
+def test_grants_join_by_broadcast_or_by_salt(spark, monkeypatch):
+    records = spark.range(200).select(F.concat(F.lit("r"), "id").alias("id"), F.lit("main").alias("namespace"))
+    grants = spark.createDataFrame([("a", "main", ["read"]), ("b", "main", ["read"]), ("c", "main", ["write"])], "principal string, namespace string, permissions array<string>")
+    denies = spark.createDataFrame([("a", "r1"), ("b", "r2")], "principal string, id string")
+    few = {(r.principal, r.id) for r in policy.allowed(records, grants, denies, "read").collect()}
+    monkeypatch.setattr(policy, "MAX_BROADCAST", 1)
+    assert few == {(r.principal, r.id) for r in policy.allowed(records, grants, denies, "read").collect()} and len(few) == 398
+    assert policy.allowed(records, grants, denies, "read", ["a"]).count() == 199
+
+
+def test_html_text_equals_plain_reading(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    rows = ingest.html_text(pages).toPandas()
+    assert len(rows) == pages.count()
+    text = next(c for c in rows.columns if c not in ("page_id", "url"))
+    assert not rows[text].dropna().astype(str).str.contains(r"<(?:p|div|script|style)[ >]", regex=True).any()
