@@ -16,8 +16,17 @@ def _micros(ntz: Column) -> Column:
 
 def _ntz(micros: Column) -> Column:
     """The timestamp without zone of microseconds since 1970."""
-    zero = F.lit(0)
-    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(zero, zero, zero, (micros.cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)"))
+    zero, day = F.lit(0), F.lit(86_400_000_000)
+    rest = F.pmod(micros, day)
+    days = ((micros - rest) / day).cast("int")
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(days, zero, zero, (rest.cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)"))
+
+
+def _iso(ntz: Column) -> Column:
+    """Date and time to seconds; years have four digits at least and no sign but a minus."""
+    year = F.year(ntz)
+    text = F.when(year.between(0, 9999), F.lpad(year.cast("string"), 4, "0")).otherwise(year.cast("string"))
+    return F.concat(text, F.date_format(ntz, "-MM-dd'T'HH:mm:ss"))
 
 
 def _in_zone(utc: Column, zone: str) -> Column:
@@ -90,7 +99,7 @@ def date_only(text: Column, policy: str | None = None) -> Column:
 
 def format_utc(s: Column, n: Column) -> Column:
     """RFC 3339 in UTC without trailing zeros of the fraction."""
-    whole = F.date_format(_ntz(s * 1_000_000), "yyyy-MM-dd'T'HH:mm:ss")
+    whole = _iso(_ntz(s * 1_000_000))
     fraction = F.rtrim(F.lpad(n.cast("string"), 9, "0"), F.lit("0"))
     return F.concat(whole, F.when(n == 0, "").otherwise(F.concat(F.lit("."), fraction)), F.lit("Z"))
 

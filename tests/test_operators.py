@@ -382,3 +382,13 @@ def test_html_text_equals_plain_reading(spark):
     assert len(rows) == pages.count()
     text = next(c for c in rows.columns if c not in ("page_id", "url"))
     assert not rows[text].dropna().astype(str).str.contains(r"<(?:p|div|script|style)[ >]", regex=True).any()
+
+
+def test_years_beyond_four_digits_have_no_sign(spark):
+    import duckdb
+
+    seconds = [0, 253402300799, 253402300800, 518_394_000_000, 3_110_364_000_000, -62_135_596_800, -62_167_219_201, -1]
+    got = [tuple(r) for r in spark.createDataFrame([(i, s) for i, s in enumerate(seconds)], "i long, s long").select("i", timex.format_utc(F.col("s"), F.lit(5)).alias("a")).orderBy("i").select("a").collect()]
+    text = "strftime(to_timestamp({s}::BIGINT) AT TIME ZONE '{z}', '%Y-%m-%dT%H:%M:%S')"
+    want = [duckdb.sql(f"SELECT {text.format(s=s, z='UTC')} || '.000000005Z'").fetchall()[0] for s in seconds]
+    assert got == want
