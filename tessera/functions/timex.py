@@ -110,7 +110,7 @@ def present_in_zone(s: Column, zone: str) -> Column:
     minutes = ((_micros(local) - s * 1_000_000) / 60_000_000).cast("int")
     sign = F.when(minutes < 0, "-").otherwise("+")
     offset = F.concat(sign, F.lpad(F.floor(F.abs(minutes) / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.abs(minutes) % 60).cast("string"), 2, "0"))
-    return F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), offset, F.lit(f"[{zone}]"))
+    return F.concat(_iso(local), offset, F.lit(f"[{zone}]"))
 
 
 def tick_to_utc(tick: Column, numerator: int, denominator: int, origin: int = 0) -> Column:
