@@ -393,3 +393,16 @@ def test_years_beyond_four_digits_have_no_sign(spark):
     want = [duckdb.sql(f"SELECT {text.format(s=s, z='UTC')} || '.000000005Z', {text.format(s=s, z='Asia/Kolkata')}").fetchall()[0] for s in seconds]
     assert [a for a, _ in got] == [a for a, _ in want]
     assert [b[:-len("+05:30[Asia/Kolkata]")] for _, b in got[:5]] == [b for _, b in want[:5]]  # Kolkata had another offset before 1945
+
+
+@pytest.mark.parametrize("radius", [300_000.0, 900_000.0, 15_000_000.0])
+def test_radius_join_near_poles_equals_all_pairs(spark, radius):
+    rng = random.Random(5)
+    d = geo.DEGREE
+    rows = [(i, rng.randrange(-180 * d, 180 * d + 1), rng.choice((-1, 1)) * rng.randrange(80 * d, 90 * d + 1)) for i in range(700)] + [(700, 0, 90 * d), (701, 180 * d, 0), (702, -180 * d, 0)]
+    # just beyond an eighth of the circle, between bands that are cut into eight
+    rows += [(703 + 2 * i, -180 * d + 1000, 86_395_000_000 - 1_000_000 * i) for i in range(20)] + [(704 + 2 * i, 180 * d - 46_500_000_000, 86_395_000_000) for i in range(20)]
+    points = spark.createDataFrame(rows, "id long, lon long, lat long").cache()
+    near = space.radius_join(points, points, radius).select("query", "point")
+    every = points.alias("a").join(points.alias("b"), geo.great_circle_m(F.col("b.lon"), F.col("b.lat"), F.col("a.lon"), F.col("a.lat")) <= radius + 0.002).select(F.col("a.id").alias("query"), F.col("b.id").alias("point"))
+    assert near.exceptAll(every).isEmpty() and every.exceptAll(near).isEmpty()
