@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.asof import TRANSITIONS, latest_at
+from tessera.session import materialize
 
+MAX_BROADCAST = 1_000_000
 STATUSES = ("proposed", "accepted", "rejected", "disputed", "superseded", "retracted", "expired")
 
 
@@ -32,20 +34,30 @@ def transaction_bounds(operations: DataFrame, max_operations: int = 10_000, max_
     return sums.withColumn("ok", (F.col("operations") <= max_operations) & (F.col("refs") <= max_references))
 
 
-def closure_violations(claims: DataFrame, endpoints: DataFrame, entities: DataFrame, evidence: DataFrame) -> DataFrame:
+def closure_violations(claims: DataFrame, endpoints: DataFrame | None, entities: DataFrame, evidence: DataFrame) -> DataFrame:
     """Why claims may not stand: no evidence, evidence that is missing or named twice, endpoints not active.
 
     ``claims`` (id, status, evidence array), ``endpoints`` (id, entity). Endpoints matter while a claim is
-    proposed or accepted.
+    proposed or accepted. Without ``endpoints`` claims hold them as an array, ends, and aren't joined with themselves.
+    What isn't there is found once for each name, and claims are joined with that, which is little, not with all that is there.
     """
     none = claims.filter(F.size("evidence") == 0).select("id", F.lit("no_evidence").alias("reason"))
     twice = claims.filter(F.size("evidence") != F.size(F.array_distinct("evidence"))).select("id", F.lit("duplicate_evidence").alias("reason"))
-    missing = claims.select("id", F.explode("evidence").alias("e")).join(evidence.select(F.col("id").alias("e")), "e", "left_anti").select("id", F.lit("missing_evidence").alias("reason"))
-    live = claims.filter("status in ('proposed', 'accepted')").select("id")
-    dead = endpoints.join(live, "id", "left_semi").join(entities.filter("lifecycle = 'active'").select(F.col("id").alias("entity")), "entity", "left_anti").select("id", F.lit("inactive_endpoint").alias("reason"))
+    missing = _of_absent(claims.select("id", F.explode("evidence").alias("ref")), evidence).select("id", F.lit("missing_evidence").alias("reason"))
+    live = claims.filter("status in ('proposed', 'accepted')")
+    ends = live.select("id", F.explode("ends").alias("ref")) if endpoints is None else endpoints.select("id", F.col("entity").alias("ref")).join(live.select("id"), "id", "left_semi")
+    dead = _of_absent(ends, entities.filter("lifecycle = 'active'")).select("id", F.lit("inactive_endpoint").alias("reason"))
     return none.unionByName(twice).unionByName(missing).unionByName(dead).distinct()
 
 
+def _of_absent(refs: DataFrame, there: DataFrame) -> DataFrame:
+    """Rows (id, ref) whose ref isn't the id of a row of ``there``; absent names are broadcast up to ``MAX_BROADCAST``, else joined."""
+    absent = materialize(refs.select("ref").distinct().join(there.select(F.col("id").alias("ref")), "ref", "left_anti"), "absent")
+    few = absent.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    null = refs.filter("ref is null")
+    return refs.join(F.broadcast(absent) if few else absent, "ref", "left_semi").select("id", "ref").unionByName(null.select("id", "ref"))
+
+
 def delete_dependents(targets: DataFrame, edges: DataFrame) -> DataFrame:
     """What deleting each entity would need: dependents by status and whether a plain delete is refused."""
     live = edges.filter("status in ('accepted', 'proposed')")

@@ -36,10 +36,9 @@ def transaction_bounds(spark, m):
 def closure_violations(spark, m):
     supplier = F.concat(F.lit("supplier:"), "supp")
     k = F.col("supp") % 11
-    claims = m["contains"].select(F.col("rel_id").alias("id"), "status", F.when(k == 0, F.array().cast("array<string>")).when(k == 1, F.array(F.lit("supplier:none"))).when(k == 2, F.array(supplier, supplier)).otherwise(F.array(supplier)).alias("evidence"))
-    ends = m["contains"].select(F.col("rel_id").alias("id"), F.explode(F.array("src", "dst")).alias("entity"))
+    claims = m["contains"].select(F.col("rel_id").alias("id"), "status", F.when(k == 0, F.array().cast("array<string>")).when(k == 1, F.array(F.lit("supplier:none"))).when(k == 2, F.array(supplier, supplier)).otherwise(F.array(supplier)).alias("evidence"), F.array("src", "dst").alias("ends"))
     entities = asof.latest_at(m["entity_versions"].filter("not startswith(id, 'user:')"))
-    return writes.closure_violations(claims, ends, entities, m["supplier"].select(F.concat(F.lit("supplier:"), "s_suppkey").alias("id")))
+    return writes.closure_violations(claims, None, entities, m["supplier"].select(F.concat(F.lit("supplier:"), "s_suppkey").alias("id")))
 
 
 @query("delete_dependents", """SELECT id, accepted, proposed, CASE WHEN accepted + proposed = 0 THEN 'deleted' WHEN proposed > 0 THEN 'cascade_refused' ELSE 'cascade_needed' END AS outcome FROM (

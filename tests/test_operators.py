@@ -447,3 +447,14 @@ def test_numbering_containment_shuffles_hashes_only(spark, monkeypatch):
     near = graph.adjacent_authorized(m["edges"], m["orders"].selectExpr("'order:' || o_orderkey as node"), spark.createDataFrame([], "id string, lifecycle string"), spark.createDataFrame([("c1",)], "id string"))
     plan = near._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti, (rel_id" not in plan and plan.index("LeftOuter") < plan.rindex("Inner")  # denied relationships are looked for among the nodes' own
+
+
+def test_closure_of_ends_in_claims_equals_endpoints(spark, monkeypatch):
+    claims = spark.createDataFrame([("a", "accepted", ["e"], ["x", "gone"]), ("b", "proposed", ["no", "e"], ["x", None]), ("c", "retracted", [], ["gone"]), ("d", "accepted", [None, "e", "e"], ["x", "x"])], "id string, status string, evidence array<string>, ends array<string>")
+    entities = spark.createDataFrame([("x", "active"), ("gone", "deleted")], "id string, lifecycle string")
+    evidence = spark.createDataFrame([("e",)], "id string")
+    want = [("a", "inactive_endpoint"), ("b", "inactive_endpoint"), ("b", "missing_evidence"), ("c", "no_evidence"), ("d", "duplicate_evidence"), ("d", "missing_evidence")]
+    for most in (writes.MAX_BROADCAST, 0):
+        monkeypatch.setattr(writes, "MAX_BROADCAST", most)
+        for ends in (None, claims.select("id", F.explode("ends").alias("entity"))):
+            assert sorted(map(tuple, writes.closure_violations(claims, ends, entities, evidence).collect())) == want
