@@ -477,3 +477,9 @@ def test_ancestry_rounds_do_not_add_up(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
     found = {r.id: (r.root, r.depth, r.outcome) for r in got.collect()}
     assert found[11] == (0, 11, "ok") and found[20] == (21, 1, "cycle") and found[30] == (99, 1, "missing") and found[40] == (1, 1, "other_world")
+
+
+def test_contacts_are_not_merged_into_few_tasks(spark):
+    bodies = spark.range(200).selectExpr("id", "id % 40 as p", "id % 7 - 3 as v", "id % 3 + 1 as mass", "12 as size")
+    met = space.contacts(bodies)
+    assert met._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 2 and met.count() > 0
